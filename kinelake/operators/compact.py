@@ -185,46 +185,46 @@ def read_compacted(spark: SparkSession, source: str, out_dir: str, manifest: Dat
     return spark.read.schema(whole).parquet(*paths, *kept)
 
 
-# The six camera files of a frame.
-CAMERA_NAME = r"^(?:copy of )?(hand_left|hand_right|head)[ _-](color|depth)(?:[ _-]*(?:\(\d+\)|copy(?: ?\(?\d+\)?)?|\d+)|~\d*)*\.(jpe?g|png)(?:~|\.(?:\d+|bak|part|tmp|orig))*$"
+# The six camera files of a frame, in a folder named by the frame number, and the marks of repeated uploads.
+RECORD_PATH = (
+    r"^(?:.*/)? *(?:frame[ _-]?)?0*(\d+) */ *(?:copy of )?(hand_left|hand_right|head)[ _-](color|depth)"
+    r"(?:[ _-]*(?:\(\d+\)|copy(?: ?\(?\d+\)?)?|\d+)|~\d*)*\.(jpe?g|png)(?:~|\.(?:\d+|bak|part|tmp|orig))* *$"
+)
 
 
-def record_key(path) -> dict:
-    """Columns frame_no and camera of a path, however it is spelled; null where the path names no camera file of a frame.
+def _once(df: DataFrame, expr, name: str) -> DataFrame:
+    """Adds a column that is worked out once a row: a generator keeps later filters and projections from repeating it."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
+def with_record_key(df: DataFrame, path: str = "file_path") -> DataFrame:
+    """Adds frame_no and camera of a path, however it is spelled; null where the path names no camera file of a frame.
 
     Percent codes, slashes of either kind, repeated slashes, ``.`` and ``..``
     steps, case, leading zeros, folders before the episode and the marks of
     repeated uploads ("name (1).jpg", "name - Copy.jpg", "name.jpg~") don't count.
     """
-    p = path
+    p = F.col(path)
     for _ in range(2):
-        p = F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
-    p = F.lower(F.trim(F.translate(p, "\\", "/")))
-    p = F.regexp_replace(p, r"/(?:\./|/)+", "/")
+        p = F.when(F.contains(p, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)).otherwise(p)
+    df = _once(df, F.lower(F.translate(p, "\\", "/")), "__path")
+    p = F.col("__path")
+    steps = F.regexp_replace(p, r"/(?:\./|/)+", "/")
     for _ in range(4):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\.(?=/|$)/?", "$1")
-    parts = F.split(F.regexp_replace(p, r"/(?:\./|/)+", "/"), "/")
-    name = F.trim(F.element_at(parts, -1))
-    folder = F.try_element_at(parts, F.lit(-2))
-    ext = F.regexp_extract(name, CAMERA_NAME, 3)
-    kind = F.regexp_extract(name, CAMERA_NAME, 2)
-    fits = ((kind == "color") & ext.isin("jpg", "jpeg")) | ((kind == "depth") & (ext == "png"))
-    frame = F.regexp_extract(folder, r"^(?:frame[ _-]?)?0*(\d+)$", 1)
-    good = fits & (frame != "")
-    return {
-        "frame_no": F.when(good, frame),
-        "camera": F.when(good, F.concat_ws("_", F.regexp_extract(name, CAMERA_NAME, 1), kind)),
-    }
+        steps = F.regexp_replace(steps, r"(^|/)(?!\.\./)[^/]+/\.\.(?=/|$)/?", "$1")
+    plain = F.when(F.contains(p, F.lit("/.")) | F.contains(p, F.lit("//")), F.regexp_replace(steps, r"/(?:\./|/)+", "/")).otherwise(p)
+    df = _once(df, F.split(F.regexp_replace(plain, RECORD_PATH, "$1\n$2_$3\n$4"), "\n"), "__hit")
+    hit = F.col("__hit")
+    camera, ext = F.try_element_at(hit, F.lit(2)), F.try_element_at(hit, F.lit(3))
+    fits = (F.size(hit) == 3) & (F.endswith(camera, F.lit("depth")) == (ext == "png"))
+    return df.withColumns({"frame_no": F.when(fits, F.element_at(hit, 1)), "camera": F.when(fits, camera)}).drop("__path", "__hit")
 
 
 def complete_records(files: DataFrame) -> DataFrame:
     """(file_id, episode_id, frame_no, camera, digest) of the complete rows that name a camera file of a frame."""
-    return (
-        files.select("file_id", "episode_id", "file_path", "n_bytes", "payload")
-        .where(F.col("payload").isNotNull() & (F.octet_length("payload") == F.col("n_bytes")))
-        .select("file_id", "episode_id", *[c.alias(n) for n, c in record_key(F.col("file_path")).items()], F.sha2("payload", 256).alias("digest"))
-        .where(F.col("camera").isNotNull() & F.col("episode_id").isNotNull())
-    )
+    whole = files.select("file_id", "episode_id", "file_path", "n_bytes", "payload").where(F.col("payload").isNotNull() & (F.octet_length("payload") == F.col("n_bytes")) & F.col("episode_id").isNotNull())
+    rows = _once(whole, F.unhex(F.sha2("payload", 256)), "digest").drop("payload", "n_bytes")
+    return with_record_key(rows).where(F.col("camera").isNotNull()).drop("file_path")
 
 
 def repeated_records(files: DataFrame) -> DataFrame:
