@@ -301,7 +301,7 @@ def ag44_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", F.date_trunc("minute", "ts").alias("minute")).agg(F.min("event_id").alias("first_id"), F.min_by("value", "event_id").alias("first_value"))
 
 
-@R.query("SELECT DISTINCT CAST(round(epoch_us(ts) / 1000000.0, 4) AS DECIMAL(18, 4))::VARCHAR AS stamp FROM events")
+@R.query("SELECT DISTINCT printf('%d.%04d', (epoch_us(ts) + 50) // 100 // 10000, (epoch_us(ts) + 50) // 100 % 10000) AS stamp FROM events")
 def ag45_dt01_distinct_stamps(spark: SparkSession, d: str) -> DataFrame:
     """AG45, DT01: distinct instants in seconds with four decimals."""
     return table(spark, d, "events").select((micros("ts").cast("decimal(22,0)") / 1000000).cast("decimal(18,4)").cast("string").alias("stamp")).distinct()
