@@ -48,7 +48,7 @@ LOOKALIKES = {
 }
 #: Compatibility decompositions that keep the look: width forms, non-breaking forms, letters in another font.
 LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
-LINE_ENDS = "\n\r\x0b\x0c\x85  "
+LINE_ENDS = "\n\r\x0b\x0c\x85\u2028\u2029"
 #: Characters without a look besides those of category Cf and Cc.
 BLANK_MARKS = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
 #: Visible signs within category Cf.
