@@ -19,7 +19,7 @@ files are never rewritten for that: the repeats are positional deletes, and
 ``distinct_records`` is the compacted table without them.
 
 Defined cases: an empty file list gives an empty manifest; files without rows
-take part and their blocks (if any) are copied; a file that is no Parquet, is
+take part, but blocks without rows are left out; a file that is no Parquet, is
 encrypted or keeps its chunks in other files raises ValueError, naming the
 file. Rows with a null ``payload`` or ``n_bytes``, or whose length differs,
 are incomplete and are never repeats; a path from which no frame and camera
@@ -52,6 +52,11 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _blocks(foot: dict) -> list[dict]:
+    """A footer's blocks that hold rows."""
+    return [g for g in foot[ft.GROUPS][1][1] if g[ft.G_ROWS][1] > 0]
+
+
 def copy_blocks(sources: list[tuple[str, dict]], target: str) -> dict:
     """Write one file of all blocks of ``sources`` (path, footer), in order; returns a manifest row.
 
@@ -70,7 +75,7 @@ def copy_blocks(sources: list[tuple[str, dict]], target: str) -> dict:
         for path, foot in sources:
             in_fs, in_path = _open(path)
             with in_fs.open_input_file(in_path) as f:
-                for group in foot[ft.GROUPS][1][1]:
+                for group in _blocks(foot):
                     begin, columns = at, []
                     for chunk in group[ft.G_COLUMNS][1][1]:
                         if ft.C_META not in chunk or 1 in chunk:
@@ -108,7 +113,7 @@ def validate(path: str, fs, sources: list[tuple[str, dict]], size: int) -> dict:
             raise ValueError(f"{path}: {f.size()} bytes, expected {size}")
         meta = pq.read_metadata(f)
         own = ft.read_footer(f, size)
-    blocks = sum(len(x[ft.GROUPS][1][1]) for _, x in sources)
+    blocks = sum(len(_blocks(x)) for _, x in sources)
     rows = sum(x[ft.ROWS][1] for _, x in sources)
     in_blocks = sum(meta.row_group(i).num_rows for i in range(meta.num_row_groups))
     if ft.schema_key(own) != ft.schema_key(sources[0][1]) or meta.num_row_groups != blocks or meta.num_rows != rows or in_blocks != rows:
@@ -140,7 +145,7 @@ def _compact_partition(batches: Iterator[pd.DataFrame], out_dir: str, target_byt
                 except (ValueError, IndexError, struct.error) as e:
                     raise ValueError(f"{path}: {e}") from e
             if length >= target_bytes:
-                yield pd.DataFrame([{"out_path": path, "n_files": 1, "n_blocks": len(foot[ft.GROUPS][1][1]), "n_rows": foot[ft.ROWS][1], "n_bytes": length, "kept": True}])
+                yield pd.DataFrame([{"out_path": path, "n_files": 1, "n_blocks": len(_blocks(foot)), "n_rows": foot[ft.ROWS][1], "n_bytes": length, "kept": True}])
                 continue
             key = ft.schema_key(foot)
             if key in pending and held[key] + length > target_bytes:

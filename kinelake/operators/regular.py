@@ -148,7 +148,7 @@ def _regularize(batches: Iterator[pa.RecordBatch], keys: Sequence[str], main: st
         value, value2 = _impute(dense, run), _impute(dense2, run)
         # a block gives its own cells and the empty ones just before them
         own = role[owner] == 1
-        out = {"row": seg[owner][own], "cell": cell_no[own], "a": value[own], "b": value2[own], "n": readings[own], "filled": (readings == 0)[own], "b_filled": np.isnan(dense2)[own], "how": np.where(np.isnan(dense[own]), "ssa", "observed")}
+        out = {"row": seg[owner][own], "cell": cell_no[own], "a": value[own], "b": value2[own], "n": readings[own], "filled": (readings == 0)[own], "b_filled": np.isnan(dense2)[own], "how": np.where(np.isnan(dense), np.where(np.isnan(value), "marked", "ssa"), "observed")[own]}
         yield from _emit(batch, keys, out, schema, cell)
         for k in np.flatnonzero(long & (role == 1)):  # long silences: marked only
             for lo in range(int(cells[k - 1]) + 1, int(cells[k]), 100_000):
@@ -187,7 +187,8 @@ def regular_series(
 
     cell_ms is the cell's start in milliseconds since the epoch, a multiple of
     the cell width. filled: no reading counts in the cell. method is observed,
-    ssa or marked (a silence longer than ``max_gap`` cells, without a value).
+    ssa or marked (without a value: in a silence longer than ``max_gap`` cells,
+    or with no finite reading near).
     """
     cell = cell_ms * 1_000_000
     counts = F.col(main).isNotNull() & ~F.isnan(main)

@@ -322,10 +322,10 @@ def _detect(batches: Iterator[pa.RecordBatch], schema: pa.Schema, factor: float)
 def implausible_messages(readings: DataFrame, params: DataFrame, factor: float = FACTOR) -> DataFrame:
     """(robot_id, joint_name, episode_id, at, seq_no, field_name, kind) of stuck values and spikes, one row a message."""
     blocks = source_blocks(readings, params)
-    models = source_models(blocks)
+    models = source_models(blocks).select(*[F.col(k).alias(f"m_{k}") for k in SOURCE], "models")
     if readings.select(*SOURCE).distinct().count() <= BROADCAST_SOURCES:  # one short row a source
         models = F.broadcast(models)
-    joined = blocks.join(models, SOURCE, "left")
+    joined = blocks.join(models, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in SOURCE], "left").drop(*[f"m_{k}" for k in SOURCE])
     schema = _arrow(FLAGGED)
     return joined.mapInArrow(lambda it: _detect(it, schema, factor), FLAGGED)
 
