@@ -106,7 +106,8 @@ def satisfied_tick(node: Node, ticks: Column, leaf: Callable[[Node], Callable[[C
     if node.op == "ActionList":
         at = start
         for c in node.children:
-            at = satisfied_tick(c, ticks, leaf, at)
+            # bound, so that the lambdas below don't work the start out again for every frame
+            at = F.transform(F.array(at), _from(c, ticks, leaf))[0]
         return at
     ends = F.array(*[satisfied_tick(c, ticks, leaf, start) for c in node.children])
     done = F.array_sort(F.array_compact(ends))
@@ -116,6 +117,10 @@ def satisfied_tick(node: Node, ticks: Column, leaf: Callable[[Node], Callable[[C
     return F.try_element_at(done, F.lit(k))
 
 
+def _from(node: Node, ticks: Column, leaf: Callable[[Node], Callable[[Column], Column]]) -> Callable[[Column], Column]:
+    return lambda begin: satisfied_tick(node, ticks, leaf, begin)
+
+
 def evaluate_tree(frames: DataFrame, tree: Node, leaf: Callable[[Node], Callable[[Column], Column]], episode: str, tick: str, columns: Sequence[str], timeout: int | None = None) -> DataFrame:
     """(episode, satisfied_at, outcome): outcome is done, timeout or open.
 
@@ -124,7 +129,9 @@ def evaluate_tree(frames: DataFrame, tree: Node, leaf: Callable[[Node], Callable
     """
     packed = frames.groupBy(episode).agg(F.sort_array(F.collect_list(F.struct(F.col(tick).alias("tick"), *columns))).alias("frames"))
     first = F.element_at("frames", 1)["tick"]
-    at = satisfied_tick(tree, F.col("frames"), leaf, first)
+    # a generator keeps the projection below from working the tree out once for every use of its result
+    packed = packed.select(episode, "frames", F.explode(F.array(satisfied_tick(tree, F.col("frames"), leaf, first))).alias("__at"))
+    at = F.col("__at")
     late = (at > first + timeout) if timeout is not None else F.lit(False)
     ended = F.element_at("frames", -1)["tick"] > first + timeout if timeout is not None else F.lit(False)
     return packed.select(
