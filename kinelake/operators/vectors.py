@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK, BASE_BLOCK = 1024, 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -18,50 +18,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(mul(a, b), F.sqrt(mul(a, a)) * F.sqrt(mul(b, b)))
 
 
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows packed into hash blocks of about ``size`` (block number, array of (key, vector)), and the number of blocks."""
+    df = df.where(F.col(vector).isNotNull())
+    n = max(1, -(-df.count() // size))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.col(vector).alias("vector")))).alias(name)), n
+
+
 def top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query_id, key, similarity, rank_no): the k most similar rows of ``base`` for each query, ties by key.
 
-    Queries are packed into blocks of 1024 vectors; each pair of a block and a
-    task's rows is one matrix product that keeps the k best of each query, so
-    what is shuffled is k rows a query and task, never all similarities. The
-    number of blocks grows with the query set, as the work must.
+    A stated query set against all rows, in blocks: both sides are packed, each
+    block of rows meets each block of queries through a join on the block
+    number, and a meeting is one matrix product that keeps the k best of each
+    query. What is ranked at the end is k rows a query and block, never all
+    similarities; nothing passes through the driver. Null vectors take no part,
+    zero vectors have similarity 0.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    packed = queries.where(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct(key, vector))).alias("q"))
-    rows = [r for r in packed.toLocalIterator()]  # one block at a time; QUERY_BLOCK vectors each
-    out = None
-    kind = dict(base.dtypes)[key]
-    ddl = f"query_id {dict(queries.dtypes)[key]}, `{key}` {kind}, similarity double"
-    src = base.where(F.col(vector).isNotNull()).select(key, vector)
-    for r in rows:
-        ids = np.array([x[0] for x in r["q"]])
-        mat = np.array([x[1] for x in r["q"]], dtype=np.float64)
-        part = src.mapInPandas(_search(ids, mat, key, vector, k), ddl)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = base.sparkSession.createDataFrame([], ddl)
+    asked, n = _blocks(queries, key, vector, QUERY_BLOCK, "q")
+    rows, _ = _blocks(base, key, vector, BASE_BLOCK, "b")
+    meet = rows.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(asked, "q_block")
+    ddl = f"query_id {dict(queries.dtypes)[key]}, `{key}` {dict(base.dtypes)[key]}, similarity double"
+    out = meet.select("q", "b").mapInPandas(lambda it: _search(it, key, k), ddl)
     w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), key)
     return out.withColumn("rank_no", F.row_number().over(w).cast("long")).where(F.col("rank_no") <= k)
 
 
-def _search(ids: np.ndarray, mat: np.ndarray, key: str, vector: str, k: int):
-    norm = np.linalg.norm(mat, axis=1, keepdims=True)
-    unit = np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)
+def _unit_rows(items) -> tuple[np.ndarray, np.ndarray]:
+    names = np.array([x["key"] for x in items])
+    m = np.array([x["vector"] for x in items], dtype=np.float64)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return names, np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            b = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(b, axis=1, keepdims=True)
-            sim = unit @ np.divide(b, size, out=np.zeros_like(b), where=size > 0).T
-            names = batch[key].to_numpy()
-            order = np.lexsort((np.broadcast_to(names, sim.shape), -np.round(sim, 9)), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pd.DataFrame({"query_id": ids[rows], key: names[order.ravel()], "similarity": sim[rows, order.ravel()]})
 
-    return run
+def _search(batches: Iterator[pd.DataFrame], key: str, k: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for asked, rows in zip(batch["q"], batch["b"]):
+            ids, q = _unit_rows(asked)
+            names, b = _unit_rows(rows)
+            sim = q @ b.T
+            order = np.lexsort((np.broadcast_to(names, sim.shape), -np.round(sim, 9)), axis=1)[:, :k]
+            at = np.repeat(np.arange(len(ids)), order.shape[1])
+            yield pd.DataFrame({"query_id": ids[at], key: names[order.ravel()], "similarity": sim[at, order.ravel()]})
 
 
 def search_assets(assets: DataFrame, keyword: str, vector: list[float], k: int, key: str = "asset_id", column: str = "embedding") -> DataFrame:
