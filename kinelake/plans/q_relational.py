@@ -123,11 +123,27 @@ def so04_unused(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT (SELECT count(*) FROM (SELECT l_returnflag FROM lineitem EXCEPT ALL SELECT l_returnflag FROM lineitem)) = 0 AS equal_bags, (SELECT count(*) FROM (SELECT l_returnflag FROM lineitem EXCEPT ALL SELECT o_orderstatus FROM orders)) AS surplus")
 def so05_ag40_bag_equality(spark: SparkSession, d: str) -> DataFrame:
-    """SO05, AG40: bags are equal if no value's counts differ; counts are compared, not rows."""
-    x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("v")).agg(F.count("*").alias("n"))
-    y = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("w")).agg(F.count("*").alias("m"))
-    over = x.join(y, F.col("v").eqNullSafe(F.col("w")), "left").agg(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("surplus"))
-    return over.select(F.lit(True).alias("equal_bags"), "surplus")
+    """SO05, AG40: whether lineitem's flags are the bag that its SQL holds them against, and how many more of them there are than order states."""
+    flags, states = table(spark, d, "lineitem").select("l_returnflag"), table(spark, d, "orders").select("o_orderstatus")
+    return compare_bags(flags, flags).select("equal_bags").crossJoin(compare_bags(flags, states).select("surplus"))
+
+
+@R.query(
+    """WITH x AS (SELECT l_returnflag FROM lineitem), y AS (SELECT o_orderstatus FROM orders)
+    SELECT NOT EXISTS (SELECT * FROM x EXCEPT ALL SELECT * FROM y) AND NOT EXISTS (SELECT * FROM y EXCEPT ALL SELECT * FROM x) AS equal_bags, (SELECT count(*) FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y)) AS surplus"""
+)
+def so05_ag40_two_bags(spark: SparkSession, d: str) -> DataFrame:
+    """SO05, AG40: whether the flags of lineitem and the states of orders are equal bags, and the flags' surplus."""
+    return compare_bags(table(spark, d, "lineitem").select("l_returnflag"), table(spark, d, "orders").select("o_orderstatus"))
+
+
+def compare_bags(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row for two columns: equal_bags, no value's counts differ, and surplus, the rows of the left bag that the right one lacks; nulls are a value."""
+    x = left.toDF("v").groupBy("v").agg(F.count("*").alias("n"))
+    y = right.toDF("w").groupBy("w").agg(F.count("*").alias("m"))
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    both = x.join(y, F.col("v").eqNullSafe(F.col("w")), "full")
+    return both.agg(F.coalesce(F.bool_and(n == m), F.lit(True)).alias("equal_bags"), F.coalesce(F.sum(F.greatest(n - m, F.lit(0))), F.lit(0)).alias("surplus"))
 
 
 @R.query("SELECT event_id, CASE WHEN event_type = 'click' THEN 9 WHEN event_type = 'view' THEN 2 ELSE 1 END AS merged FROM events")

@@ -31,3 +31,19 @@ def test_dilation_and_erosion_of_the_whole_table(spark):
     spread = {(x + a, y + b) for x, y in cells for a, b in around}
     assert rows_of(entry.queries()["gr08_dilate"](spark, DATA)) == sorted(spread)
     assert rows_of(entry.queries()["gr08_erode"](spark, DATA)) == sorted(c for c in spread if all((c[0] + a, c[1] + b) in cells for a, b in around))
+
+
+def test_bags_are_compared_both_ways(spark):
+    from kinelake.plans.q_relational import compare_bags
+
+    bag = lambda *v: spark.createDataFrame([(x,) for x in v], "v string")
+    cases = [(("a", "a", None), ("a", None, "a"), True, 0), (("a", "a", None), ("a", None, None), False, 1), (("a",), ("a", "b"), False, 0), (("a",), ("a", None), False, 0), ((), (), True, 0), ((), ("a",), False, 0), (("a",), (), False, 1)]
+    for x, y, equal, surplus in cases:
+        assert compare_bags(bag(*x), bag(*y)).collect() == [(equal, surplus)]
+
+
+@needs_data
+def test_unequal_bags_of_two_tables(spark):
+    got = rows_of(entry.queries()["so05_ag40_two_bags"](spark, DATA))
+    assert got == rows_of_sql(entry.oracle_sql()["so05_ag40_two_bags"]) and not got[0][0]
+    assert rows_of(entry.queries()["so05_ag40_bag_equality"](spark, DATA)) == rows_of_sql(entry.oracle_sql()["so05_ag40_bag_equality"])
