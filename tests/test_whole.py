@@ -47,3 +47,37 @@ def test_unequal_bags_of_two_tables(spark):
     got = rows_of(entry.queries()["so05_ag40_two_bags"](spark, DATA))
     assert got == rows_of_sql(entry.oracle_sql()["so05_ag40_two_bags"]) and not got[0][0]
     assert rows_of(entry.queries()["so05_ag40_bag_equality"](spark, DATA)) == rows_of_sql(entry.oracle_sql()["so05_ag40_bag_equality"])
+
+
+def table_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_words_against_the_table():
+    import random
+
+    from kinelake.plans.q_text import common_words
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(90))] for _ in range(2))
+        assert common_words(a, b) == table_lcs(a, b)
+
+
+@needs_data
+def test_rouge_of_whole_truths(spark):
+    import re
+
+    of = {}
+    for source, text in rows_of_sql("SELECT coalesce(source, ''), text FROM documents WHERE text IS NOT NULL"):
+        truth, said = text.lower().split(), re.sub(r"\b(the|and|of) ", "", text, flags=re.A).strip()[:512].lower().split()
+        if truth:
+            n = table_lcs(truth, said)
+            of.setdefault(source, []).append(2 * n / (len(truth) + len(said)))
+    got = {r.source or "": r.rouge_l for r in entry.queries()["ag21_rouge_l"](spark, DATA).collect()}
+    assert got == pytest.approx({k: sum(v) / len(v) for k, v in of.items()}, abs=1e-6)
