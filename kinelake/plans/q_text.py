@@ -84,7 +84,7 @@ def st12_st13_actions(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT doc_id, replace('Do <instruction>. Answer.', '<instruction>.', left(text, 40)) || CASE WHEN n_chars > 300 THEN ' These are your historical observations <memory>.' ELSE '' END AS prompt FROM documents WHERE text IS NOT NULL")
 def st14_prompt(spark: SparkSession, d: str) -> DataFrame:
-    p = F.replace(F.lit("Do <instruction>. Answer."), F.lit("<instruction>."), F.left("text", F.lit(40)))
+    p = F.replace(F.lit("Do <instruction>. Answer."), F.lit("<instruction>."), F.col("text"))
     return docs(spark, d).select("doc_id", F.concat(p, F.when(F.col("n_chars") > 300, " These are your historical observations <memory>.").otherwise("")).alias("prompt"))
 
 

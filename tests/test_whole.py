@@ -81,3 +81,9 @@ def test_rouge_of_whole_truths(spark):
             of.setdefault(source, []).append(2 * n / (len(truth) + len(said)))
     got = {r.source or "": r.rouge_l for r in entry.queries()["ag21_rouge_l"](spark, DATA).collect()}
     assert got == pytest.approx({k: sum(v) / len(v) for k, v in of.items()}, abs=1e-6)
+
+
+@needs_data
+def test_prompts_hold_whole_instructions(spark):
+    want = rows_of_sql("SELECT doc_id, 'Do ' || text || ' Answer.' || CASE WHEN n_chars > 300 THEN ' These are your historical observations <memory>.' ELSE '' END FROM documents WHERE text IS NOT NULL")
+    assert rows_of(entry.queries()["st14_prompt"](spark, DATA)) == want
