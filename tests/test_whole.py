@@ -87,3 +87,57 @@ def test_rouge_of_whole_truths(spark):
 def test_prompts_hold_whole_instructions(spark):
     want = rows_of_sql("SELECT doc_id, 'Do ' || text || ' Answer.' || CASE WHEN n_chars > 300 THEN ' These are your historical observations <memory>.' ELSE '' END FROM documents WHERE text IS NOT NULL")
     assert rows_of(entry.queries()["st14_prompt"](spark, DATA)) == want
+
+
+def one_more_round(x, missing):
+    """A centred series after one more round, by its singular vectors."""
+    import numpy as np
+
+    n = len(x)
+    length = min(10, n // 2)
+    h = np.array([x[i : i + n - length + 1] for i in range(length)])
+    u = np.linalg.svd(h, full_matrices=False)[0][:, :3]
+    low, total, count = u @ u.T @ h, np.zeros(n), np.zeros(n)
+    for i in range(length):
+        total[i : i + n - length + 1] += low[i]
+        count[i : i + n - length + 1] += 1
+    return np.where(missing, total / count, x)
+
+
+def test_imputation_settles_with_the_production_parameters():
+    import numpy as np
+
+    from kinelake.operators import regular
+
+    rng, slow = np.random.default_rng(2), 0
+    for n in (40, 75, 120):
+        values = np.cumsum(rng.normal(size=(30, n)), axis=1)
+        missing = rng.random((30, n)) < 0.4
+        missing[:, [0, -1]] = False
+        guess = np.stack([regular.first_guess(np.where(m, np.nan, v), np.zeros(n, int)) for v, m in zip(values, missing)])
+        x, settled = regular.ssa_settle(guess, missing)
+        assert settled.all() and (x == regular.ssa_impute(guess, missing)).all()
+        for row, m, g in zip(x, missing, guess):
+            centred = row - g.mean()
+            assert np.abs(one_more_round(centred, m) - centred).max() <= 1.5e-3 * g.std()
+        short, few = regular.ssa_settle(guess, missing, rounds=12)
+        slow += (~few).sum()
+    assert slow > 10
+
+
+def test_unsettled_rows_are_marked(spark, monkeypatch):
+    import numpy as np
+
+    from kinelake.operators import regular
+
+    rng = np.random.default_rng(4)
+    values, run = np.cumsum(rng.normal(size=200)), np.repeat([1, 2], 100)
+    values[rng.random(200) < 0.4] = np.nan
+    values[[0, 100]] = 0.0
+    assert not regular._impute(values, run)[1].any()
+    settle = regular.ssa_settle
+    monkeypatch.setattr(regular, "ssa_settle", lambda x, m: settle(x, m, rounds=1))
+    assert (regular._impute(values, run)[1] == np.isnan(values)).all()
+    if os.path.isdir(DATA):
+        out = entry.queries()["p3_series"](spark, DATA).toPandas()
+        assert out.unsettled.dtype == bool and not out.unsettled.any() and (out.method == "ssa").any()
