@@ -117,20 +117,29 @@ def sr24_sr25_variants(spark: SparkSession, d: str) -> DataFrame:
     """Seeded variants of each user's path: ends and anchors perturbed and clamped, near-copies dropped, at most 8 n attempts for n of them."""
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.sort_values("event_id")[["ax", "ay"]].to_numpy()[:6]
-        rng, kept = np.random.default_rng(int(p["event_id"].min())), []
-        for _ in range(8 * 3):
-            y = np.clip(x + rng.normal(0, 0.5, x.shape), 0, 50)
-            size = np.linalg.norm(np.diff(y, axis=0), axis=1).sum()
-            if all(abs(size - s) >= 0.05 * s or np.linalg.norm(y[len(y) // 2] - m) >= 0.5 for s, m in kept):
-                kept.append((size, y[len(y) // 2]))
-            if len(kept) == 3:
-                break
-        return pd.DataFrame({"variant": range(len(kept)), "length": [round(float(s), 6) for s, _ in kept]})
+        kept = path_variants(p.sort_values("event_id")[["ax", "ay"]].to_numpy(), int(p["event_id"].min()), 3)
+        return pd.DataFrame({"variant": range(len(kept)), "length": [round(float(path_length(y)), 6) for y in kept]})
 
     return folds.per_group(base(spark, d).select("user_id", "event_id", "ax", "ay"), ["user_id"], fold, "user_id long, variant int, length double")
 
 
+def path_length(x: np.ndarray) -> float:
+    return np.linalg.norm(np.diff(x, axis=0), axis=1).sum()
+
+
+def path_variants(x: np.ndarray, seed: int, n: int) -> list[np.ndarray]:
+    """Up to n variants of the whole path x, every point of it perturbed."""
+    rng, kept = np.random.default_rng(seed), []
+    for _ in range(8 * n):
+        y = np.clip(x + rng.normal(0, 0.5, x.shape), 0, 50)
+        size = path_length(y)
+        if all(abs(size - s) >= 0.05 * s or np.linalg.norm(y[len(y) // 2] - m) >= 0.5 for s, m in ((path_length(k), k[len(k) // 2]) for k in kept)):
+            kept.append(y)
+        if len(kept) == n:
+            break
+    return kept
+
+
 @R.query()
 def ma28_noise(spark: SparkSession, d: str) -> DataFrame:
     """Gaussian, uniform, exponential and salt-and-pepper noise, from a hash of the row, so that every run gives the same; the first matching pattern decides."""

@@ -141,3 +141,34 @@ def test_unsettled_rows_are_marked(spark, monkeypatch):
     if os.path.isdir(DATA):
         out = entry.queries()["p3_series"](spark, DATA).toPandas()
         assert out.unsettled.dtype == bool and not out.unsettled.any() and (out.method == "ssa").any()
+
+
+def test_variants_run_the_whole_path():
+    import numpy as np
+
+    from kinelake.plans.q_more import path_variants
+
+    x = np.stack([np.linspace(5, 45, 60), np.linspace(45, 5, 60)], axis=1)
+    kept = path_variants(x, 7, 3)
+    assert len(kept) == 3
+    for y in kept:
+        assert y.shape == x.shape and 0 < np.abs(y - x).max() < 4 and (y != x).any(axis=1).all()
+
+
+@needs_data
+def test_variant_lengths_are_those_of_whole_paths(spark):
+    from collections import defaultdict
+
+    import numpy as np
+
+    from kinelake.plans.q_more import base
+
+    paths, got = defaultdict(list), defaultdict(list)
+    for r in base(spark, DATA).select("user_id", "event_id", "ax", "ay").orderBy("event_id").collect():
+        paths[r.user_id].append((r.ax, r.ay))
+    for r in entry.queries()["sr24_sr25_variants"](spark, DATA).collect():
+        got[r.user_id].append(r.length)
+    assert set(got) == set(paths)
+    for user, sizes in got.items():
+        x = np.array(paths[user])
+        assert np.abs(np.array(sizes) - np.linalg.norm(np.diff(x, axis=0), axis=1).sum()).max() <= 2 * 0.5 * 4 * len(x)
