@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import text as tx
 from kinelake.operators import vectors
+from kinelake.operators.packing import pieces
 from kinelake.plans.registry import Registry, r6
 from kinelake.session import table
 
@@ -90,8 +91,8 @@ def st14_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT scene_id, string_agg('### ' || source || ': ' || doc_id || chr(10), '' ORDER BY doc_id) AS conversation FROM documents WHERE doc_id % 1 = 0 AND source IS NOT NULL GROUP BY 1")
 def st16_speakers(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with their speakers, ordered, one text a scene (ids stand for the texts)."""
-    turn = F.concat(F.lit("### "), F.col("source"), F.lit(": "), F.col("doc_id").cast("string"), F.lit("\n"))
+    """Turns with their speakers, ordered, one text a scene; a null text is an empty turn."""
+    turn = F.concat(F.lit("### "), F.col("source"), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n"))
     g = table(spark, d, "documents").where("source is not null").groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", turn.alias("t")))).alias("a"))
     return g.select("scene_id", F.array_join(F.transform("a", lambda s: s["t"]), "").alias("conversation"))
 
@@ -174,9 +175,36 @@ def ar01_ar03_argsort(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, CAST(floor(max(upto) / 2048) AS BIGINT) AS full_blocks, CAST(max(upto) - floor(max(upto) / 2048) * 2048 AS BIGINT) AS dropped FROM t GROUP BY 1"""
 )
 def ar05_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed-length packing with a separator: full blocks and the dropped tail of each source. Only totals are needed."""
-    x = table(spark, d, "documents").where("n_chars > 0 and source is not null").groupBy("source").agg(F.sum(F.col("n_chars") + 1).alias("n"))
-    return x.select("source", F.floor(F.col("n") / 2048).alias("full_blocks"), (F.col("n") - F.floor(F.col("n") / 2048) * 2048).alias("dropped"))
+    """Fixed-length packing with a separator: full blocks and the dropped tail of each source."""
+    n = packed(spark, d).groupBy("source").agg(F.count_if(F.col("full") & (F.col("block_offset") == 0)).alias("full_blocks"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("n_taken"))).alias("dropped"))
+    return n.select("source", "full_blocks", "dropped")
+
+
+def packed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The pieces of the documents of each source in blocks of 2048 characters."""
+    x = table(spark, d, "documents").where("n_chars > 0 and source is not null")
+    return pieces(x.select("source", "doc_id", (F.col("n_chars") + 1).alias("n"), *columns), "source", "doc_id", "n", 2048)
+
+
+@R.query(
+    """WITH t AS (SELECT source, doc_id, n_chars + 1 AS n, sum(n_chars + 1) OVER (PARTITION BY source ORDER BY doc_id) - n_chars - 1 AS a, sum(n_chars + 1) OVER (PARTITION BY source) AS total FROM documents WHERE n_chars > 0 AND source IS NOT NULL),
+    p AS (SELECT source, doc_id, n, a::BIGINT AS a, total, unnest(range(a::BIGINT // 2048, (a::BIGINT + n - 1) // 2048 + 1)) AS b FROM t)
+    SELECT source, doc_id, b AS block_no, greatest(a - b * 2048, 0) AS block_offset, greatest(b * 2048 - a, 0) AS record_from, least(a + n, (b + 1) * 2048) - greatest(a, b * 2048) AS n_taken FROM p WHERE (b + 1) * 2048 <= total"""
+)
+def ar05_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document lies in the full blocks of its source."""
+    return packed(spark, d).where("full").select("source", "doc_id", "block_no", "block_offset", "record_from", "n_taken")
+
+
+@R.query(
+    """WITH t AS (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS s FROM documents WHERE n_chars > 0 AND source IS NOT NULL GROUP BY 1)
+    SELECT source, b AS block_no, substring(s, b * 2048 + 1, 2048) AS block FROM (SELECT source, s, unnest(range(0, length(s) // 2048)) AS b FROM t)"""
+)
+def ar05_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The full blocks themselves: texts with a line end between them, cut every 2048 characters, the tail dropped."""
+    part = F.substring(F.concat("text", F.lit("\n")), F.col("record_from").cast("int") + 1, F.col("n_taken").cast("int"))
+    g = packed(spark, d, "text").where("full").groupBy("source", "block_no").agg(F.sort_array(F.collect_list(F.struct("block_offset", part.alias("t")))).alias("a"))
+    return g.select("source", "block_no", F.array_join(F.transform("a", lambda s: s["t"]), "").alias("block"))
 
 
 @R.query("SELECT i AS step_no, round(2 + (9 - 2) * i / 20.0, 9) AS x FROM range(0, 21) t(i)")

@@ -172,3 +172,34 @@ def test_variant_lengths_are_those_of_whole_paths(spark):
     for user, sizes in got.items():
         x = np.array(paths[user])
         assert np.abs(np.array(sizes) - np.linalg.norm(np.diff(x, axis=0), axis=1).sum()).max() <= 2 * 0.5 * 4 * len(x)
+
+
+@needs_data
+def test_conversations_hold_the_texts(spark):
+    want = rows_of_sql("SELECT scene_id, string_agg('### ' || source || ': ' || coalesce(text, '') || chr(10), '' ORDER BY doc_id) FROM documents WHERE source IS NOT NULL GROUP BY 1")
+    assert rows_of(entry.queries()["st16_speakers"](spark, DATA)) == want
+
+
+@pytest.mark.parametrize("ids", [1, 7, 4096])
+def test_packing_by_hand(spark, ids):
+    import random
+
+    from kinelake.operators.packing import pieces
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), i, rng.choice([1, 2, 9, 10, 11, 35])) for i in rng.sample(range(200), 60)] + [("short", 500, 9), ("even", 600, 20)]
+    want, end = set(), {}
+    for g, i, n in sorted(rows, key=lambda r: r[1]):
+        for k in range(n):
+            at = end[g] = end.get(g, -1) + 1
+            want.add((g, at // 10, at % 10, i, k))
+    want = {(*w, (w[1] + 1) * 10 <= end[w[0]] + 1) for w in want}
+    got = pieces(spark.createDataFrame(rows, "g string, i long, n long"), "g", "i", "n", 10, ids).collect()
+    spread = [(r.g, r.block_no, r.block_offset + k, r.i, r.record_from + k, r.full) for r in got for k in range(r.n_taken)]
+    assert len(spread) == len(want) and set(spread) == want
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["ar05_pack", "ar05_places", "ar05_blocks"])
+def test_packing_against_sql(spark, name):
+    assert rows_of(entry.queries()[name](spark, DATA)) == rows_of_sql(entry.oracle_sql()[name])
