@@ -36,7 +36,7 @@ def st02_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT doc_id, trim(regexp_replace(text, '[\\r\\n]+$', '')) AS clean FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(9) || '%'")
 def st04_trim(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where(~F.contains("text", F.lit("\t"))).select("doc_id", F.trim(F.regexp_replace("text", r"[\r\n]+\z", "")).alias("clean"))
+    return docs(spark, d).select("doc_id", F.trim(F.regexp_replace("text", r"[\r\n]+\z", "")).alias("clean"))
 
 
 @R.query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -124,7 +124,7 @@ def st19_st20_image_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) + 128 AS est, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(11) || '%'")
 def st21_estimates(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where(~F.contains("text", F.lit("\x0b"))).select("doc_id", tx.length_estimate(F.col("text"), 1).cast("long").alias("est"), tx.token_estimate(F.col("text")).alias("tokens"))
+    return docs(spark, d).select("doc_id", tx.length_estimate(F.col("text"), 1).cast("long").alias("est"), tx.token_estimate(F.col("text")).alias("tokens"))
 
 
 @R.query("SELECT file_id, regexp_extract(file_path, '([^/\\\\]+)$', 1) AS name FROM camera_files")

@@ -203,3 +203,11 @@ def test_packing_by_hand(spark, ids):
 @pytest.mark.parametrize("name", ["ar05_pack", "ar05_places", "ar05_blocks"])
 def test_packing_against_sql(spark, name):
     assert rows_of(entry.queries()[name](spark, DATA)) == rows_of_sql(entry.oracle_sql()[name])
+
+
+def test_texts_with_tabs_and_vertical_tabs_stay(spark, tmp_path):
+    texts = ["a\tb c\n", "  a\x0bb\r\n", "\x0b", "plain ", "", None, "x\n\ny\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    q = entry.queries()
+    assert rows_of(q["st04_trim"](spark, str(tmp_path))) == [(0, "a\tb c"), (1, "a\x0bb"), (2, "\x0b"), (3, "plain"), (4, ""), (6, "x\n\ny")]
+    assert rows_of(q["st21_estimates"](spark, str(tmp_path))) == [(i, len(t.split()) + 128, -(-len(t) // 4)) for i, t in enumerate(texts) if t is not None]
