@@ -4,18 +4,19 @@ A key (one joint of one episode, say) may hold a third of all rows, so no
 operator groups by the key alone. Readings are packed by (key, time block);
 the packing aggregates on the map side, where repeated deliveries of one
 message collapse. What a block must know of its neighbours, the last readings
-before it and the first ones after it, travels through a narrow side table
-with a few readings a block.
+before it and the first ones after it, is sent to it by their block numbers;
+who is whose neighbour is worked out on block numbers alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NANOS = 1_000_000_000
+SPAN = 4096
 
 
 def instant_ns(seconds: str = "ts_seconds", nanos: str = "ts_nanos"):
@@ -37,34 +38,47 @@ def pack_blocks(df: DataFrame, keys: Sequence[str], at: str, fields: Sequence[st
     )
 
 
-def with_halo(blocks: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
-    """Adds ``before`` and ``after``: up to ``halo`` items of the neighbouring blocks.
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    """Null-safe equality of like-named columns of two aliased sides."""
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return on
+
+
+def neighbours(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, block, prev, next): the nearest blocks that hold anything, null at a series' ends.
+
+    Two levels of narrow windows: one over the blocks of a span of ``SPAN``
+    block widths, one over the spans. No window sees a row for each block of a
+    hot key; the outer one sees a row for each span of its time.
+    """
+    n = blocks.select(*keys, "block").withColumn("span", F.expr(f"(block - pmod(block, {SPAN}L)) div {SPAN}L"))
+    inner, outer = Window.partitionBy(*keys, "span").orderBy("block"), Window.partitionBy(*keys).orderBy("span")
+    ends = n.groupBy(*keys, "span").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    ends = ends.select(*keys, "span", F.lag("hi").over(outer).alias("hi"), F.lead("lo").over(outer).alias("lo"))
+    within = n.withColumns({"prev": F.lag("block").over(inner), "next": F.lead("block").over(inner)})
+    both = within.alias("n").join(ends.alias("e"), _same("n", "e", [*keys, "span"]))
+    return both.select(*[F.col(f"n.{k}").alias(k) for k in keys], "block", F.coalesce("prev", "hi").alias("prev"), F.coalesce("next", "lo").alias("next"))
+
+
+def with_halo(blocks: DataFrame, keys: Sequence[str], halo: int, fields: Sequence[str]) -> DataFrame:
+    """Adds ``before`` and ``after``: items of the neighbouring blocks, of each field the nearest ``halo`` that have it.
 
     Neighbours are the nearest blocks that hold anything; the arrays are empty
-    at the ends of a series. The window runs over the side table only.
+    at the ends of a series. Each block sends its last items on and its first
+    ones back, addressed by block number, so a hot key is spread like its blocks.
     """
-    order = Window.partitionBy(*keys).orderBy("block")
-    empty = F.expr("slice(tail, 1, 0)")
-    side = blocks.select(
-        *keys,
-        "block",
-        F.slice("items", 1, halo).alias("head"),
-        F.slice("items", F.greatest(F.size("items") - F.lit(halo - 1), F.lit(1)), F.lit(halo)).alias("tail"),
-    )
-    side = side.select(
-        *[F.col(k).alias(f"side_{k}") for k in keys],
-        F.col("block").alias("side_block"),
-        F.coalesce(F.lag("tail").over(order), empty).alias("before"),
-        F.coalesce(F.lead("head").over(order), empty).alias("after"),
-    ).where((F.size("before") > 0) | (F.size("after") > 0))
-    on = F.col("block") == F.col("side_block")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"side_{k}"))
-    none = F.expr("slice(items, 1, 0)")
-    return blocks.join(side, on, "left").select(
-        *keys,
-        "block",
-        "items",
-        F.coalesce("before", none).alias("before"),
-        F.coalesce("after", none).alias("after"),
-    )
+    ask = lambda f: lambda x: x[f].isNotNull()
+    head = F.concat(*[F.slice(F.filter("items", ask(f)), 1, halo) for f in fields])
+    last = lambda a: F.slice(a, F.greatest(F.size(a) - F.lit(halo - 1), F.lit(1)), F.lit(halo))
+    tail = F.concat(*[last(F.filter("items", ask(f))) for f in fields])
+    ends = blocks.select(*keys, "block", F.array_sort(F.array_distinct(head)).alias("head"), F.array_sort(F.array_distinct(tail)).alias("tail"))
+    ends = ends.alias("s").join(neighbours(blocks, keys).alias("l"), _same("s", "l", [*keys, "block"]))
+    empty = F.slice("tail", 1, 0)
+    letter = lambda to, before, after: F.struct(F.col(to).alias("block"), before.alias("before"), after.alias("after"))
+    post = ends.select(*[F.col(f"s.{k}").alias(k) for k in keys], F.explode(F.array(letter("next", F.col("tail"), empty), letter("prev", empty, F.col("head")))).alias("p")).where("p.block is not null")
+    got = post.select(*keys, "p.*").groupBy(*keys, "block").agg(F.flatten(F.collect_list("before")).alias("before"), F.flatten(F.collect_list("after")).alias("after"))
+    none = F.slice("items", 1, 0)
+    joined = blocks.alias("b").join(got.alias("g"), _same("b", "g", [*keys, "block"]), "left")
+    return joined.select(*[F.col(f"b.{k}").alias(k) for k in keys], "b.block", "items", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))

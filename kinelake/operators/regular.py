@@ -276,7 +276,7 @@ def regular_series(
     cell = cell_ms * 1_000_000
     counts = F.col(main).isNotNull() & ~F.isnan(main)
     src = readings.where(counts).select(*keys, instant_ns().alias("at"), F.col(main).cast("double").alias("v_main"), F.col(second).cast("double").alias("v_second"))
-    blocks = with_halo(pack_blocks(src, keys, "at", ["v_main", "v_second"], BLOCK_CELLS * cell), keys, HALO)
+    blocks = with_halo(pack_blocks(src, keys, "at", ["v_main", "v_second"], BLOCK_CELLS * cell), keys, HALO, ["v_main", "v_second"])
     kinds = dict(src.dtypes)
     ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", cell_ms bigint, `{main}` double, `{second}` double, n_readings bigint, filled boolean, `{second}_filled` boolean, method string, unsettled boolean"
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -10,20 +10,28 @@ A source is a robot's joint. Three kinds are told apart, by field:
 
 The model of a source is a robust autoregression of its changes: the usual
 change from reading to reading (the median of its absolute values over all
-readings) and the coefficient with which a change goes on in the next one
-(least squares on changes clipped at three usual ones). Readings whose
-one-step prediction error is far above the usual change are candidates. Each
-is tested as additive outlier of length one to three, whose readings must all
-lie more than ``factor`` usual changes off the course that the readings before
-and after keep, against a level shift, under which the reading behind stays
-with the candidate. The largest is accepted, taken out of the series, and the
-rest is tested again, until no outlier is found. The statistics of a source are
-gathered in one pass over all blocks, as mergeable histograms.
+readings), the usual interval, and the coefficient with which a change goes on
+in the next one. The coefficient is estimated after a first test has taken
+outliers out, by least squares on changes clipped at three usual ones. All
+three are of the whole source, so they don't depend on how it is cut up.
+
+Readings whose one-step residual is far above the usual change are candidates.
+Each is tested by its residuals as additive outlier of one to three readings
+(free sizes, least squares on the residuals that they touch) against a level
+shift from there on. It is a spike where the outlier explains the residuals
+better than the shift and leaves little of them, all its sizes have one sign,
+and, as an exact check, each reading lies more than ``factor`` usual changes off
+the line between the readings before and after it. Intervals above twice the
+usual one are gaps: residuals across them count for less, and with gaps on both
+sides that line must be missed by more, since the course may have moved on. Of
+overlapping outliers the largest is accepted; accepted ones are taken out of
+the series, and the rest is tested again, until none is found.
 
 Plan: readings are packed by (source, episode, time block) with map-side
-collapse of repeated deliveries; statistics and tests read the same exchange;
-sources are never brought together, only their histograms are. The flagged
-messages are joined back to all readings, so every delivery is reported.
+collapse of repeated deliveries and written once to the shared folder; the two
+passes of statistics and the test read that table. The statistics are mergeable
+histograms and sums, sources are never brought together. The flagged messages
+are joined back to all readings, so every delivery is reported.
 
 Defined cases: null values and readings without a time take part in the limit
 test only; ties in time are ordered by sequence number; a source without any
@@ -43,6 +51,7 @@ from pyspark.sql import functions as F
 
 from kinelake.operators.blocks import instant_ns, pack_blocks, with_halo
 from kinelake.operators.flat import Flat, breaks
+from kinelake.session import scratch_path
 
 FIELDS = ("joint_position", "joint_velocity", "joint_effort")
 LIMITS = {
@@ -52,11 +61,13 @@ LIMITS = {
 }
 KEYS = ["robot_id", "joint_name", "episode_id"]
 SOURCE = ["robot_id", "joint_name"]
-BLOCK_NS = 600 * 1_000_000_000
+BLOCK_NS = 3600 * 1_000_000_000
 HALO = 48
 STUCK_RUN = 16
 FACTOR = 10.0
 LONGEST = 3
+GAP = 2.0
+MISFIT = 0.25  # of an outlier's squared size, what its pattern may leave of the residuals
 BINS_PER_OCTAVE = 16
 ZERO_BIN = -100_000
 RARE = 0.05  # a source of whose readings fewer change has usual change 0
@@ -82,11 +93,18 @@ def limit_violations(readings: DataFrame, params: DataFrame) -> DataFrame:
 def source_blocks(readings: DataFrame, params: DataFrame) -> DataFrame:
     """Distinct messages packed by (source, episode, block), with halo and the joint's limits."""
     src = readings.select(*KEYS, instant_ns().alias("at"), "seq_no", *FIELDS)
-    blocks = with_halo(pack_blocks(src, KEYS, "at", ["seq_no", *FIELDS], BLOCK_NS), KEYS, HALO)
+    blocks = with_halo(pack_blocks(src, KEYS, "at", ["seq_no", *FIELDS], BLOCK_NS), KEYS, HALO, FIELDS)
     low = params.groupBy(F.col("joint_name").alias("p_joint")).agg(
         F.struct(*[F.first(c, ignorenulls=True).alias(c) for c in ("position_lower_limit", "position_upper_limit", "velocity_limit", "effort_limit")]).alias("limits")
     )
-    return blocks.join(low, F.col("joint_name") == F.col("p_joint"), "left").drop("p_joint")
+    return _written(blocks.join(low, F.col("joint_name") == F.col("p_joint"), "left").drop("p_joint"), "source_blocks")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for what is read more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _limits(batch: pa.RecordBatch, field: str) -> tuple[np.ndarray, np.ndarray]:
@@ -112,63 +130,101 @@ def _plausible(flat: Flat, at: np.ndarray, batch: pa.RecordBatch, field: str) ->
         return at[np.isfinite(v) & (v >= low[s]) & (v <= high[s])]
 
 
+def _sources(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the number of its source within the batch, and of each source one of its rows."""
+    names = [batch.column(batch.schema.get_field_index(k)) for k in SOURCE]
+    pair = pa.compute.binary_join_element_wise(*[c.fill_null("\x00") for c in names], "\x01").dictionary_encode()
+    code = pair.indices.to_numpy(zero_copy_only=False)
+    row = np.zeros(len(pair.dictionary), np.int64)
+    row[code] = np.arange(batch.num_rows)
+    return code, row
+
+
+def _bins(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.where(x > 0, np.floor(np.log2(np.where(x > 0, x, 1)) * BINS_PER_OCTAVE), ZERO_BIN).astype(np.int64)
+
+
 def _partial_stats(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Histogram parts: (source, field, bin, n, n_all, n_repeat, sxy, sxx)."""
+    """Histogram parts (source, field, bin, n, n_all, n_repeat) of the changes, and, as field -1, of the intervals."""
     for batch in batches:
         if not batch.num_rows:
             continue
         flat, at = _messages(batch)
-        own_names = [batch.column(batch.schema.get_field_index(k)) for k in SOURCE]
-        pair = pa.compute.binary_join_element_wise(*[c.fill_null("\x00") for c in own_names], "\x01").dictionary_encode()
-        code = pair.indices.to_numpy(zero_copy_only=False)
-        sample = np.full(len(pair.dictionary), 0)
-        sample[code] = np.arange(batch.num_rows)
+        code, sample = _sources(batch)
         rows: list[tuple[np.ndarray, ...]] = []
+
+        def count(source: np.ndarray, x: np.ndarray, field: int) -> None:
+            key, n = np.unique(np.stack([source, _bins(x)]), axis=1, return_counts=True)
+            zero = np.zeros(len(n), np.int64)
+            rows.append((key[0], np.full(len(n), field), key[1], n, zero, zero))
+
+        s = flat.seg[at]
+        mine = (s[1:] == s[:-1]) & (flat.role[at][1:] == 1)
+        count(code[s[1:][mine]], np.diff(flat["at"][at])[mine], -1)
         for f, field in enumerate(FIELDS):
             seen = at[~np.isnan(flat[field][at])]
+            v, s, own = flat[field][seen], flat.seg[seen], flat.role[seen] == 1
+            n_all = np.bincount(code[s[own]], minlength=len(sample))
+            n_rep = np.bincount(code[s[1:]][own[1:] & (s[1:] == s[:-1]) & (v[1:] == v[:-1])], minlength=len(sample))
+            u = np.flatnonzero(n_all)
+            rows.append((u, np.full(len(u), f), np.full(len(u), ZERO_BIN - 1), np.zeros(len(u), np.int64), n_all[u], n_rep[u]))
             k = _plausible(flat, at, batch, field)
-            for places, repeats in ((seen, True), (k, False)):
-                v, s, own = flat[field][places], flat.seg[places], flat.role[places] == 1
-                if len(v) < 2:
-                    continue
-                same = s[1:] == s[:-1]
-                with np.errstate(invalid="ignore"):
-                    d = np.where(same, v[1:] - v[:-1], np.nan)
-                mine = own[1:] & same & (flat.role[places][1:] != 2)
-                src = code[s[1:]]
-                if repeats:
-                    n_all = np.bincount(code[s[own]], minlength=len(sample))
-                    n_rep = np.bincount(src[mine & (v[1:] == v[:-1])], minlength=len(sample))
-                    u = np.flatnonzero(n_all)
-                    rows.append((u, np.full(len(u), f), np.full(len(u), ZERO_BIN - 1), np.zeros(len(u), np.int64), n_all[u], n_rep[u], np.zeros(len(u)), np.zeros(len(u))))
-                    continue
-                a = np.abs(d[mine])
-                with np.errstate(divide="ignore"):
-                    b = np.where(a > 0, np.floor(np.log2(np.where(a > 0, a, 1)) * BINS_PER_OCTAVE), ZERO_BIN).astype(np.int64)
-                key, n = np.unique(np.stack([src[mine], b]), axis=1, return_counts=True)
-                z = np.zeros(len(n))
-                rows.append((key[0], np.full(len(n), f), key[1], n, z.astype(np.int64), z.astype(np.int64), z, z))
-                # autoregression of the changes, clipped at three times the batch's own median change of the source
-                usual = np.ones(len(sample))
-                order = np.lexsort((a, src[mine]))
-                grouped, first, count = np.unique(src[mine][order], return_index=True, return_counts=True)
-                usual[grouped] = a[order][first + count // 2]
-                clip = 3 * usual[src]
-                c = np.clip(np.nan_to_num(d), -clip, clip)
-                both = mine[1:] & same[1:] & same[:-1]
-                sxy = np.bincount(src[1:][both], (c[1:] * c[:-1])[both], len(sample))
-                sxx = np.bincount(src[1:][both], (c[:-1] ** 2)[both], len(sample))
-                u = np.flatnonzero(sxx)
-                z = np.zeros(len(u), np.int64)
-                rows.append((u, np.full(len(u), f), np.full(len(u), ZERO_BIN - 1), z, z, z, sxy[u], sxx[u]))
+            s = flat.seg[k]
+            mine = (s[1:] == s[:-1]) & (flat.role[k][1:] == 1)
+            count(code[s[1:][mine]], np.abs(np.diff(flat[field][k])[mine]), f)
+        yield _by_source(batch, sample, rows, schema)
+
+
+def _by_source(batch: pa.RecordBatch, sample: np.ndarray, rows: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> pa.RecordBatch:
+    col = [np.concatenate(c) for c in zip(*rows)]
+    take = pa.array(sample[col[0]])
+    out = [batch.column(batch.schema.get_field_index(k)).take(take) for k in SOURCE] + [pa.array(c) for c in col[1:]]
+    return pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(out, schema)], schema=schema)
+
+
+def _series(batch: pa.RecordBatch, flat: Flat, at: np.ndarray, f: int, pace: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one field: the places of its plausible messages, and of each its row, usual change, coefficient and usual interval."""
+    models = batch.column(batch.schema.get_field_index("models")).to_pylist()
+    usual, phi = (np.array([row[f][k] if row else 0.0 for row in models], float) for k in ("usual", "phi"))
+    k = _plausible(flat, at, batch, FIELDS[f])
+    s = flat.seg[k]
+    return k, s, usual[s], phi[s], pace[s]
+
+
+def _pace(batch: pa.RecordBatch) -> np.ndarray:
+    return np.maximum(np.nan_to_num(batch.column(batch.schema.get_field_index("pace")).to_numpy(zero_copy_only=False).astype(float)), 1.0)
+
+
+def _partial_regression(batches: Iterator[pa.RecordBatch], schema: pa.Schema, factor: float) -> Iterator[pa.RecordBatch]:
+    """Parts (source, field, sxy, sxx) of the regression of a change on the one before, outliers taken out, changes clipped at three usual ones."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat, at = _messages(batch)
+        code, sample = _sources(batch)
+        pace = _pace(batch)
+        rows: list[tuple[np.ndarray, ...]] = []
+        for f, field in enumerate(FIELDS):
+            k, s, usual, phi, every = _series(batch, flat, at, f, pace)
+            keep = ~find_spikes(flat[field][k], flat["at"][k], s, usual, np.zeros(len(k)), factor, every)
+            k, s, usual = k[keep], s[keep], usual[keep]
+            if len(k) < 3:
+                continue
+            same = s[1:] == s[:-1]
+            d = np.clip(np.where(same, np.diff(flat[field][k]), 0), -3 * usual[1:], 3 * usual[1:])
+            both = same[1:] & same[:-1] & (flat.role[k][2:] == 1)
+            source = code[s[2:]][both]
+            sxy = np.bincount(source, (d[1:] * d[:-1])[both], len(sample))
+            sxx = np.bincount(source, (d[:-1] ** 2)[both], len(sample))
+            u = np.flatnonzero(sxx)
+            rows.append((u, np.full(len(u), f), sxy[u], sxx[u]))
         if rows:
-            col = [np.concatenate(c) for c in zip(*rows)]
-            take = pa.array(sample[col[0]])
-            out = [c.take(take) for c in own_names] + [pa.array(c) for c in col[1:]]
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(out, schema)], schema=schema)
+            yield _by_source(batch, sample, rows, schema)
 
 
-PARTIAL = "robot_id string, joint_name string, field int, bin long, n long, n_all long, n_repeat long, sxy double, sxx double"
+PARTIAL = "robot_id string, joint_name string, field int, bin long, n long, n_all long, n_repeat long"
+REGRESSION = "robot_id string, joint_name string, field int, sxy double, sxx double"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -178,21 +234,20 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def source_models(blocks: DataFrame) -> DataFrame:
-    """(robot_id, joint_name, models): per field (usual change, AR coefficient, share of repeats), over all readings.
+def usual_changes(blocks: DataFrame) -> DataFrame:
+    """(robot_id, joint_name, pace, models): the usual interval in nanoseconds, and an entry (usual, repeats, phi = 0) for each field, over all readings.
 
     The bins of a source are few (some hundreds) whatever its size, so the
     arrays of the last aggregation are bounded.
     """
     schema = _arrow(PARTIAL)
     parts = blocks.mapInArrow(lambda it: _partial_stats(it, schema), PARTIAL)
-    bins = parts.groupBy(*SOURCE, "field", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "n_all", "n_repeat", "sxy", "sxx")])
+    bins = parts.groupBy(*SOURCE, "field", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "n_all", "n_repeat")])
     per_field = bins.groupBy(*SOURCE, "field").agg(
         F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("bin", "n")))).alias("hist"),
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("bin") == ZERO_BIN, F.col("n")).otherwise(0)).alias("n_zero"),
         (F.sum("n_repeat") / F.greatest(F.sum("n_all"), F.lit(1))).alias("repeats"),
-        F.coalesce(F.try_divide(F.sum("sxy"), F.sum("sxx")), F.lit(0.0)).alias("phi"),
     )
     # the bin that holds the median change; where most changes are 0, the median of the others, if they aren't rare
     skip = F.when(F.col("n_zero") * 2 <= F.col("n"), F.lit(0)).otherwise(F.col("n_zero"))
@@ -204,11 +259,28 @@ def source_models(blocks: DataFrame) -> DataFrame:
     )["bin"]
     rare = F.col("n") - F.col("n_zero") < F.col("n") * RARE
     usual = F.when(at.isNull() | (at == ZERO_BIN) | rare, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), (at + 0.5) / BINS_PER_OCTAVE))
-    return (
-        per_field.withColumn("usual", usual)
-        .groupBy(*SOURCE)
-        .agg(F.sort_array(F.collect_list(F.struct("field", "usual", "phi", "repeats"))).alias("models"))
-    )
+    of = lambda c, f, other: F.coalesce(F.max(F.when(F.col("field") == f, F.col(c))), F.lit(other)).alias(c)
+    fields = [F.struct(of("usual", f, 0.0), of("repeats", f, 1.0), F.lit(0.0).alias("phi")) for f in range(len(FIELDS))]
+    return per_field.withColumn("usual", usual).groupBy(*SOURCE).agg(of("usual", -1, 0.0).alias("pace"), F.array(*fields).alias("models"))
+
+
+def _with_models(blocks: DataFrame, models: DataFrame, few: bool) -> DataFrame:
+    m = models.select(*[F.col(k).alias(f"m_{k}") for k in SOURCE], "pace", "models")
+    m = F.broadcast(m) if few else m  # one short row a source
+    return blocks.join(m, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in SOURCE], "left").drop(*[f"m_{k}" for k in SOURCE])
+
+
+def source_models(blocks: DataFrame, factor: float = FACTOR) -> tuple[DataFrame, bool]:
+    """The table of ``usual_changes`` with the coefficients of the autoregression, and whether its sources are few enough to broadcast."""
+    first = _written(usual_changes(blocks), "usual_changes")
+    few = first.count() <= BROADCAST_SOURCES
+    schema = _arrow(REGRESSION)
+    parts = _with_models(blocks, first, few).mapInArrow(lambda it: _partial_regression(it, schema, factor), REGRESSION)
+    phi = parts.groupBy(*SOURCE, "field").agg(F.try_divide(F.sum("sxy"), F.sum("sxx")).alias("phi")).groupBy(*SOURCE).agg(F.map_from_entries(F.collect_list(F.struct("field", "phi"))).alias("phi"))
+    on = [F.col(f"u.{k}").eqNullSafe(F.col(f"p.{k}")) for k in SOURCE]
+    each = F.transform("models", lambda m, i: F.struct(m["usual"].alias("usual"), m["repeats"].alias("repeats"), F.greatest(F.least(F.coalesce(F.try_element_at("phi", i), F.lit(0.0)), F.lit(0.95)), F.lit(-0.9)).alias("phi")))
+    both = first.alias("u").join(phi.alias("p"), on, "left").select(*[F.col(f"u.{k}").alias(k) for k in SOURCE], "pace", each.alias("models"))
+    return _written(both, "source_models"), few
 
 
 def find_stuck(v: np.ndarray, seg: np.ndarray, run: int = STUCK_RUN) -> np.ndarray:
@@ -220,73 +292,86 @@ def find_stuck(v: np.ndarray, seg: np.ndarray, run: int = STUCK_RUN) -> np.ndarr
     return np.repeat(size >= run, size)
 
 
-def find_spikes(v: np.ndarray, t: np.ndarray, seg: np.ndarray, usual: np.ndarray, phi: np.ndarray, factor: float = FACTOR) -> np.ndarray:
-    """True for additive outliers of one to three readings; ``usual`` and ``phi`` are the source's, for each reading.
+def find_spikes(v: np.ndarray, t: np.ndarray, seg: np.ndarray, usual: np.ndarray, phi: np.ndarray, factor: float = FACTOR, pace: np.ndarray | None = None) -> np.ndarray:
+    """True for additive outliers of one to three readings; ``usual``, ``phi`` and ``pace`` (the usual interval) are the source's, for each reading.
 
     Iterative: accepted outliers are taken out and the rest is tested again.
+    Without ``pace`` no interval counts as a gap.
     """
     found = np.zeros(len(v), bool)
     rest = np.arange(len(v))
-    for _ in range(6):
-        hit = _outliers(v[rest], t[rest], seg[rest], usual[rest], phi[rest], factor)
+    pace = np.full(len(v), np.inf) if pace is None else pace
+    while True:
+        hit = _outliers(*(a[rest] for a in (v, t, seg, usual, phi, pace)), factor)
         if not hit.any():
-            break
+            return found
         found[rest[hit]] = True
         # only segments in which something was found are tested again
         again = np.isin(seg[rest], np.unique(seg[rest[hit]]))
         rest = rest[again & ~hit]
-    return found
 
 
-def _outliers(v: np.ndarray, t: np.ndarray, seg: np.ndarray, usual: np.ndarray, phi: np.ndarray, factor: float) -> np.ndarray:
+def _fit(x: np.ndarray, e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted least squares, one small system for each first index: (coefficients, weighted sum of squared rests)."""
+    a, b = x * w[:, :, None], (e * w)[:, :, None]
+    coef = np.linalg.solve(a.transpose(0, 2, 1) @ a + 1e-12 * np.eye(x.shape[2]), a.transpose(0, 2, 1) @ b)
+    return coef[:, :, 0], ((b - a @ coef) ** 2).sum(axis=(1, 2))
+
+
+def _outliers(v: np.ndarray, t: np.ndarray, seg: np.ndarray, usual: np.ndarray, phi: np.ndarray, pace: np.ndarray, factor: float) -> np.ndarray:
     n = len(v)
     out = np.zeros(n, bool)
     if n < 3:
         return out
-    # one-step prediction errors of the autoregression of changes
-    d = np.zeros(n)
-    d[1:] = np.where(seg[1:] == seg[:-1], v[1:] - v[:-1], 0)
-    error = np.zeros(n)
-    error[1:] = np.abs(d[1:] - phi[1:] * d[:-1])
-    floor = 1e-9 * (1 + np.abs(v))
-    suspect = error > np.maximum(0.5 * factor * usual, floor)
-    start = np.flatnonzero(suspect & (np.arange(n) > 0))
+    # residuals of the autoregression of changes, and how far an interval is a gap
+    same = np.r_[False, seg[1:] == seg[:-1]]
+    d = np.where(same, np.diff(v, prepend=v[:1]), 0)
+    residual = d.copy()
+    residual[1:] -= phi[1:] * d[:-1]
+    wide = np.where(same, np.maximum(np.diff(t, prepend=t[:1]) / (GAP * pace), 1), 1)
+    usual = np.maximum(usual, 1e-9 * (1 + np.abs(v)) / factor)
+    start = np.flatnonzero((np.abs(residual) > 0.5 * factor * usual) & same)
     best = np.zeros(n)
     length = np.zeros(n, np.int64)
     for k in range(1, LONGEST + 1):
-        left, right = start - 1, start + k
-        fit = right < n
-        s, left, right = start[fit], left[fit], right[fit]
-        fit = (seg[left] == seg[s]) & (seg[right] == seg[s])
-        s, left, right = s[fit], left[fit], right[fit]
+        s = start[start + k < n]
+        s = s[seg[s + k] == seg[s]]
         if not len(s):
             continue
-        span = np.maximum(t[right] - t[left], 1).astype(float)
-        dev = np.full(len(s), np.inf)
-        side = np.zeros(len(s))
-        for m in range(k):
-            w = (t[s + m] - t[left]) / span
-            r = v[s + m] - (v[left] * (1 - w) + v[right] * w)
-            dev = np.minimum(dev, np.abs(r))
-            side += np.sign(r)
-        outlier = (np.abs(side) == k) & (dev > np.maximum(factor * usual[s], floor[s]))
-        shift = np.abs(v[right] - v[left]) >= 0.5 * dev  # the reading behind doesn't come back
-        # an anchor that itself jumps is no course; one of the two must keep its own
-        l2, r2 = np.maximum(left - 1, 0), np.minimum(right + 1, n - 1)
-        calm = ((np.abs(v[left] - v[l2]) < 0.5 * dev) | (seg[l2] != seg[left])) | ((np.abs(v[r2] - v[right]) < 0.5 * dev) | (seg[r2] != seg[right]))
-        good = outlier & ~shift & calm
-        better = good & (dev > best[s])
-        best[s[better]] = dev[better]
+        each = np.arange(k)
+        touched = np.minimum(s[:, None] + np.arange(k + 2), n - 1)
+        inside = (s[:, None] + np.arange(k + 2) < n) & (seg[touched] == seg[s][:, None])
+        e, weight = np.where(inside, residual[touched], 0), np.where(inside, 1 / wide[touched], 0)
+        # an outlier of size w at a reading leaves w, -(1 + phi) w, phi w in the residuals; a level shift w, -phi w
+        outlier = np.zeros((len(s), k + 2, k))
+        outlier[:, each, each], outlier[:, each + 1, each], outlier[:, each + 2, each] = 1, -(1 + phi[s])[:, None], phi[s][:, None]
+        shift = np.zeros((len(s), k + 2, 1))
+        shift[:, 0, 0], shift[:, 1, 0] = 1, -phi[s]
+        explained = np.zeros(len(s), bool)
+        for last in (1, 0):  # the last residual may belong to the next outlier; without gaps the others are enough
+            weight[:, -1] *= last
+            weight[(weight[:, :-1] < 1).any(axis=1) & (last == 0)] = 0
+            size, rest = _fit(outlier, e, weight)
+            one_sign = np.abs(np.sign(size).sum(axis=1)) == k
+            least = np.abs(size).min(axis=1)
+            explained |= one_sign & (least > 0.5 * factor * usual[s]) & (rest < _fit(shift, e, weight)[1]) & (rest < MISFIT * least**2)
+        # the exact check: back by more than half, and off the line between the readings before and after, beyond what a gap on both sides explains
+        left, right = s - 1, s + k
+        share = (t[s[:, None] + each] - t[left][:, None]) / np.maximum(t[right] - t[left], 1)[:, None]
+        off = v[s[:, None] + each] - (v[left][:, None] * (1 - share) + v[right][:, None] * share)
+        apart = np.minimum(t[s] - t[left], t[right] - t[right - 1]) / pace[s]
+        far = np.abs(off).min(axis=1)
+        good = explained & (np.abs(np.sign(off).sum(axis=1)) == k) & (np.abs(v[right] - v[left]) < 0.5 * far) & (far > factor * usual[s] * np.maximum(apart - 1, 1))
+        better = good & (far > best[s])
+        best[s[better]] = far[better]
         length[s[better]] = k
     # of overlapping candidates the largest stands
     order = np.flatnonzero(length)
     order = order[np.argsort(-best[order], kind="stable")]
     taken = np.zeros(n, bool)
     for i in order:
-        window = slice(i, i + length[i])
         if not taken[max(0, i - 1) : i + length[i] + 1].any():
-            out[window] = True
-            taken[window] = True
+            out[i : i + length[i]] = taken[i : i + length[i]] = True
     return out
 
 
@@ -299,15 +384,14 @@ def _detect(batches: Iterator[pa.RecordBatch], schema: pa.Schema, factor: float)
             continue
         flat, at = _messages(batch)
         models = batch.column(batch.schema.get_field_index("models")).to_pylist()
+        pace = _pace(batch)
         parts = []
         for f, field in enumerate(FIELDS):
-            model = [next((m for m in (row or ()) if m["field"] == f), None) or {"usual": 0.0, "phi": 0.0, "repeats": 1.0} for row in models]
-            usual, phi, repeats = (np.array([m[k] for m in model], float) for k in ("usual", "phi", "repeats"))
+            repeats = np.array([row[f]["repeats"] if row else 1.0 for row in models], float)
             seen = at[~np.isnan(flat[field][at])]
             stuck = seen[find_stuck(flat[field][seen], flat.seg[seen]) & (repeats[flat.seg[seen]] < 0.5)]
-            k = _plausible(flat, at, batch, field)
-            s = flat.seg[k]
-            spike = k[find_spikes(flat[field][k], flat["at"][k], s, usual[s], phi[s], factor)]
+            k, s, usual, phi, every = _series(batch, flat, at, f, pace)
+            spike = k[find_spikes(flat[field][k], flat["at"][k], s, usual, phi, factor, every)]
             for places, kind in ((stuck, "stuck"), (spike, "spike")):
                 places = places[flat.role[places] == 1]
                 if len(places):
@@ -322,10 +406,8 @@ def _detect(batches: Iterator[pa.RecordBatch], schema: pa.Schema, factor: float)
 def implausible_messages(readings: DataFrame, params: DataFrame, factor: float = FACTOR) -> DataFrame:
     """(robot_id, joint_name, episode_id, at, seq_no, field_name, kind) of stuck values and spikes, one row a message."""
     blocks = source_blocks(readings, params)
-    models = source_models(blocks).select(*[F.col(k).alias(f"m_{k}") for k in SOURCE], "models")
-    if readings.select(*SOURCE).distinct().count() <= BROADCAST_SOURCES:  # one short row a source
-        models = F.broadcast(models)
-    joined = blocks.join(models, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in SOURCE], "left").drop(*[f"m_{k}" for k in SOURCE])
+    models, few = source_models(blocks, factor)
+    joined = _with_models(blocks, models, few)
     schema = _arrow(FLAGGED)
     return joined.mapInArrow(lambda it: _detect(it, schema, factor), FLAGGED)
 

@@ -142,3 +142,44 @@ def test_empty_and_null_keys(spark):
     put(rows, 90, rows[90][8] + 3)
     rows = [(r[0], None, None, *r[3:]) for r in rows]
     assert found(spark, rows) == {(90, "position", "spike")}
+
+
+def test_the_model_of_a_source_does_not_depend_on_batches(spark):
+    rows = course(600) + course(600, ep="f", start=1000, seed=2) + course(400, ep="g", start=2000, seed=3, joint="k")
+    put(rows, 300, rows[300][8] + 5)
+    blocks = spikes.source_blocks(spark.createDataFrame(rows, R), spark.createDataFrame([], P)).repartition(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    models = []
+    try:
+        for n in (1, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            models.append(sorted(map(str, spikes.source_models(blocks)[0].collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert models[0] == models[1] and len(models[0]) == 2
+
+
+def test_readings_between_two_gaps_are_no_spikes():
+    t = np.cumsum(np.r_[np.ones(20), 15, 1, 18, np.ones(20)]) * 1e8
+    v = np.r_[np.zeros(20), 0.13, 0.13, np.zeros(21)] + np.tile([0.0, 0.01], 22)[:43]
+    one = np.ones(len(v))
+    assert not spikes.find_spikes(v, t.astype(np.int64), one, 0.01 * one, 0 * one, pace=1e8 * one).any()
+    assert spikes.find_spikes(v, np.arange(43) * 10**8, one, 0.01 * one, 0 * one, pace=1e8 * one).sum() == 2
+
+
+def test_halo_reaches_the_nearest_blocks_by_field(spark):
+    from kinelake.operators import blocks
+
+    at = [0, 1, 2, 11, 12 * 4096 * 10 + 5, 12 * 4096 * 10 + 6, 12 * 4096 * 10 + 15]
+    rows = [(key, a, float(a), 1.0 if a % 2 else None) for key in ("k", None) for a in at]
+    df = spark.createDataFrame(rows, "key string, at long, a double, b double")
+    got = blocks.with_halo(blocks.pack_blocks(df, ["key"], "at", ["a", "b"], 10), ["key"], 1, ["a", "b"]).collect()
+    assert len(got) == 8
+    for r in got:
+        items = [x["at"] for x in r["items"]]
+        below, above = [a for a in at if a < min(items)], [a for a in at if a > max(items)]
+        prev = [a for a in below if a // 10 == max(below) // 10] if below else []
+        nxt = [a for a in above if a // 10 == min(above) // 10] if above else []
+        want = lambda side, pick: sorted({pick(s) for s in (side, [a for a in side if a % 2]) if s})
+        assert [x["at"] for x in r["before"]] == want(prev, max)
+        assert [x["at"] for x in r["after"]] == want(nxt, min)
