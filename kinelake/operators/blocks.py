@@ -11,6 +11,8 @@ who is whose neighbour is worked out on block numbers alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +72,16 @@ def with_halo(blocks: DataFrame, keys: Sequence[str], halo: int, fields: Sequenc
     ones back, addressed by block number, so a hot key is spread like its blocks.
     """
     ask = lambda f: lambda x: x[f].isNotNull()
-    head = F.concat(*[F.slice(F.filter("items", ask(f)), 1, halo) for f in fields])
+    first = lambda a: F.slice(a, 1, halo)
     last = lambda a: F.slice(a, F.greatest(F.size(a) - F.lit(halo - 1), F.lit(1)), F.lit(halo))
-    tail = F.concat(*[last(F.filter("items", ask(f))) for f in fields])
-    ends = blocks.select(*keys, "block", F.array_sort(F.array_distinct(head)).alias("head"), F.array_sort(F.array_distinct(tail)).alias("tail"))
+
+    def near(end):
+        """The items at an end if each has all fields, else those of each field; sorted, repeats still in."""
+        whole = F.forall(end(F.col("items")), lambda x: reduce(and_, [x[f].isNotNull() for f in fields]))
+        return F.when(whole, end(F.col("items"))).otherwise(F.sort_array(F.concat(*[end(F.filter("items", ask(f))) for f in fields])))
+
+    once = lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1))).alias(c)
+    ends = blocks.select(*keys, "block", near(first).alias("head"), near(last).alias("tail")).select(*keys, "block", once("head"), once("tail"))
     ends = ends.alias("s").join(neighbours(blocks, keys).alias("l"), _same("s", "l", [*keys, "block"]))
     empty = F.slice("tail", 1, 0)
     letter = lambda to, before, after: F.struct(F.col(to).alias("block"), before.alias("before"), after.alias("after"))

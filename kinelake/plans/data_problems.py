@@ -65,8 +65,8 @@ def p4_positions(spark: SparkSession, d: str) -> DataFrame:
     """The subtype tables of positions, united."""
     t = nested.scene_tables(table(spark, d, "scene_records"))
     out = None
-    for v in nested.XYZ_VARIANTS[:-1]:
-        part = t[f"objects_{v}"].withColumn("variant", F.lit(v))
+    for v in (v for v in nested.SUBTYPES if v != "none"):
+        part = t[f"objects_{v}"].select("scene_uid", "parent_id", "node_id", "x", "y", "z").withColumn("variant", F.lit(v))
         out = part if out is None else out.unionByName(part)
     return out
 
