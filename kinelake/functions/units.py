@@ -5,10 +5,10 @@ canonical unit of that dimension: canonical = value * scale + offset.
 
     statement := quotient
     quotient  := product (('/' | 'per') product)*
-    product   := factor (('*' | '·') factor)*
+    product   := factor (('*' | '·' | '×') factor)*  |  'N' 'm'
     factor    := number? atom power?  |  number '/' number atom  |  fraction-word 'of' 'a'? atom  |  range
     range     := number ('..' | '-' | 'to') number   (a share of the span)
-    power     := '^'? integer | '²' | '³'
+    power     := '^' '-'? integer  |  raised digits
 
 Numbers may stand before an atom ("0.1 mm", "1/10 mm"). "counts of 255",
 "cnt/255" and "full scale 255" are shares too. Prefixes are read where the
@@ -68,25 +68,50 @@ PLAIN_ATOMS: dict[str, Unit] = {
     "fraction": Unit(NONE, 1), "ratio": Unit(NONE, 1), "share": Unit(NONE, 1), "normalised": Unit(NONE, 1), "normalized": Unit(NONE, 1),
 }
 PREFIXED_ATOMS: dict[str, Unit] = {
-    "m": Unit(LENGTH, 1), "s": Unit(TIME, 1), "g": Unit(MASS, 1e-3), "rad": Unit(ANGLE, 1), "n": Unit(FORCE, 1), "nm": Unit(ENERGY, 1), "j": Unit(ENERGY, 1), "hz": Unit(_dim(time=-1), 1),
-    "a": Unit(_dim(current=1), 1), "k": Unit(_dim(temperature=1), 1), "mol": Unit(_dim(amount=1), 1), "cd": Unit(_dim(luminosity=1), 1), "w": Unit(_dim(mass=1, length=2, time=-3), 1), "pa": Unit(_dim(mass=1, length=-1, time=-2), 1),
+    "m": Unit(LENGTH, 1), "s": Unit(TIME, 1), "g": Unit(MASS, 1e-3), "rad": Unit(ANGLE, 1), "N": Unit(FORCE, 1), "Nm": Unit(ENERGY, 1), "J": Unit(ENERGY, 1), "Hz": Unit(_dim(time=-1), 1),
+    "A": Unit(_dim(current=1), 1), "K": Unit(_dim(temperature=1), 1), "mol": Unit(_dim(amount=1), 1), "cd": Unit(_dim(luminosity=1), 1), "W": Unit(_dim(mass=1, length=2, time=-3), 1), "Pa": Unit(_dim(mass=1, length=-1, time=-2), 1),
+    "V": Unit(_dim(mass=1, length=2, time=-3, current=-1), 1), "L": Unit(_dim(length=3), 1e-3), "t": Unit(MASS, 1e3),
 }
 LONG_ATOMS: dict[str, Unit] = {
     "metre": Unit(LENGTH, 1), "meter": Unit(LENGTH, 1), "second": Unit(TIME, 1), "sec": Unit(TIME, 1), "gram": Unit(MASS, 1e-3), "radian": Unit(ANGLE, 1), "newton": Unit(FORCE, 1), "joule": Unit(ENERGY, 1), "kelvin": Unit(_dim(temperature=1), 1), "ampere": Unit(_dim(current=1), 1),
 }
-SHORT_PREFIX = {"n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "d": 1e-1, "k": 1e3}
-LONG_PREFIX = {"nano": 1e-9, "micro": 1e-6, "milli": 1e-3, "centi": 1e-2, "deci": 1e-1, "kilo": 1e3}
+SHORT_PREFIX = {"p": 1e-12, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "d": 1e-1, "da": 1e1, "h": 1e2, "k": 1e3, "M": 1e6, "G": 1e9, "T": 1e12}
+LONG_PREFIX = {"pico": 1e-12, "nano": 1e-9, "micro": 1e-6, "milli": 1e-3, "centi": 1e-2, "deci": 1e-1, "deca": 1e1, "hecto": 1e2, "kilo": 1e3, "mega": 1e6, "giga": 1e9, "tera": 1e12}
+SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
 FRACTION_WORDS = {"tenth": 0.1, "tenths": 0.1, "hundredth": 0.01, "hundredths": 0.01, "thousandth": 0.001, "thousandths": 0.001, "half": 0.5, "quarter": 0.25, "quarters": 0.25}
 COUNT_WORDS = {"count", "counts", "cnt", "cnts", "ticks", "lsb"}
 
 
+#: Symbols with all prefixes as they are spelled, and again in lower case: a spelling that two symbols share then goes to the smaller prefix.
+SYMBOLS: dict[str, Unit] = {}
+FOLDED: dict[str, Unit] = {}
+
+
+def _spell() -> None:
+    for short, unit in PREFIXED_ATOMS.items():
+        SYMBOLS.setdefault(short, unit)
+        for prefix, scale in SHORT_PREFIX.items():
+            SYMBOLS.setdefault(prefix + short, Unit(unit.dims, unit.scale * scale))
+    for name in sorted(SYMBOLS, key=lambda n: (n != n.lower(), n in ("t", "T"), SYMBOLS[n].scale)):
+        FOLDED.setdefault(name.lower(), SYMBOLS[name])
+
+
+_spell()
+
+
 def atom(word: str) -> Unit | None:
-    """The unit that a symbol or a name stands for, in any case."""
+    """The unit that a symbol or a name stands for.
+
+    A symbol is read in its exact case first (MPa, mPa, Nm, nm), names and
+    symbols in any other case after that (MM, INCH).
+    """
     w = word.lower()
+    if word in SYMBOLS and w not in PLAIN_ATOMS:
+        return SYMBOLS[word]
     if w in PLAIN_ATOMS:
         return PLAIN_ATOMS[w]
-    if w in PREFIXED_ATOMS and w != "nm":
-        return PREFIXED_ATOMS[w]
+    if w in FOLDED:
+        return FOLDED[w]
     for long, unit in LONG_ATOMS.items():
         head = next((h for h in (w[: -len(long)] if w.endswith(long) else None, w[: -len(long) - 1] if w.endswith(long + "s") else None) if h is not None), None)
         if head is not None:
@@ -95,18 +120,17 @@ def atom(word: str) -> Unit | None:
                 return unit
             if head in LONG_PREFIX:
                 return Unit(unit.dims, unit.scale * LONG_PREFIX[head])
-    for short, unit in PREFIXED_ATOMS.items():
-        if w.endswith(short) and w[: -len(short)] in SHORT_PREFIX:
-            return Unit(unit.dims, unit.scale * SHORT_PREFIX[w[: -len(short)]])
     return None
 
 
-TOKEN = re.compile(r"\d+(?:\.\d+)?(?:e[+-]?\d+)?|\.\.+|[a-zµμ]+(?:-[a-zµμ]+)*|°[cf]?(?![a-z])|%|‰|[²³/*·^\[\]()=\"–+.,;:_-]", re.I)
+TOKEN = re.compile(r"\d+(?:\.\d+)?(?:e[+-]?\d+)?|\.\.+|[a-zµμ]+(?:-[a-zµμ]+)*|°[cf]?(?![a-z])|%|‰|[/*·×⋅^\[\]()=\"–+.,;:_-]", re.I)
+POWERS = re.compile("(?<=[A-Za-zµμΩ])([⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+)")
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case tokens of a text, width forms folded; blanks are dropped."""
-    return TOKEN.findall(unicodedata.normalize("NFKC", text).lower())
+    """Tokens of a text as spelled, width forms folded, raised digits as powers; blanks are dropped."""
+    raised = POWERS.sub(lambda m: "^" + m[1].translate(SUPERSCRIPTS), text)
+    return TOKEN.findall(unicodedata.normalize("NFKC", raised))
 
 
 def _number(token: str | None) -> float | None:
@@ -125,8 +149,11 @@ class _Parser:
     def peek(self, k: int = 0) -> str | None:
         return self.toks[self.at + k] if self.at + k < len(self.toks) else None
 
+    def word(self, k: int = 0) -> str:
+        return (self.peek(k) or "").lower()
+
     def take(self, *words: str) -> bool:
-        if self.peek() in words:
+        if self.word() in words and self.peek():
             self.at += 1
             return True
         return False
@@ -153,13 +180,21 @@ class _Parser:
         unit = self.factor()
         while unit is not None:
             mark = self.at
-            more = self.factor() if self.take("*", "·") else None
+            more = self.factor() if self.take("*", "·", "×", "⋅") else self.neighbour()
             if more is None:
                 self.at = mark
                 return unit
             unit = unit.times(more)
         return None
 
+    def neighbour(self) -> Unit | None:
+        """A second symbol of a product written side by side: 'N m'. Both must be symbols of their own dimension."""
+        before = SYMBOLS.get(self.toks[self.at - 1])
+        after = SYMBOLS.get(self.peek() or "")
+        if before is None or after is None or before.dims == after.dims or len(self.toks[self.at - 1]) > 2 or self.toks[self.at - 1] not in ("N", "kN", "mN", "A", "W", "kW"):
+            return None
+        return self.powered()
+
     def factor(self) -> Unit | None:
         mark = self.at
         for rule in (self.span, self.scaled, self.worded, self.counted, self.powered):
@@ -204,7 +239,7 @@ class _Parser:
 
     def worded(self) -> Unit | None:
         """'tenths of a millimetre'."""
-        part = FRACTION_WORDS.get(self.peek() or "")
+        part = FRACTION_WORDS.get(self.word())
         if part is None:
             return None
         self.at += 1
@@ -219,18 +254,21 @@ class _Parser:
         if self.take("full", "full-scale"):
             self.take("scale")
             self.take("=", "of")
-        elif self.peek() in COUNT_WORDS:
+        elif self.word() in COUNT_WORDS:
             self.at += 1
             self.take(",")
             self.take("full")
             self.take("scale")
             if not self.take("of", "/", "="):
-                if self.toks[self.at - 1] != "scale":
+                if self.toks[self.at - 1].lower() != "scale":
                     return None
         n = _number(self.peek())
         if n is None or n <= 0:
             return None
-        behind = self.toks[max(0, self.at - 1)] if self.at else ""
+        after = atom(self.peek(1) or "")
+        if after is not None and after.dims != NONE:
+            return None  # steps of a size, no share
+        behind = self.toks[max(0, self.at - 1)].lower() if self.at else ""
         self.at += 1
         if behind in ("of", "/", "=", "scale"):
             return Unit(NONE, 1 / n)
@@ -251,11 +289,7 @@ class _Parser:
             return None
         self.at += 1
         power = 1
-        if self.take("²"):
-            power = 2
-        elif self.take("³"):
-            power = 3
-        elif self.take("^"):
+        if self.take("^"):
             sign = -1 if self.take("-") else 1
             n = _number(self.peek())
             if n is None:
@@ -292,6 +326,8 @@ def parse_quantity(text: str | None) -> tuple[float, Unit] | None:
 
 # Words that name the gripper's own value, and words after which a unit is only a preposition's object.
 SUBJECT_WORDS = {"jaw", "jaws", "opening", "gripper", "claw", "finger", "link", "stroke", "encoder", "counts", "count", "gap", "aperture"}
+STEP_WORDS = {"step", "steps", "=", "of", "count", "counts", "unit", "units", "in", "is", "tick", "ticks", "per", "by", "(", "each"}
+LONE = {"a", "k", "h", "s", "t", "l", "v", "w"}  # single letters that are words or names more often than units
 FILLER = {"of", "the", "a", "an", "full", "one", "step", "steps", "=", "scale", "over", "is", "logged", "as", "value", "raw", "in", "between"}
 
 
@@ -300,15 +336,16 @@ def statement_unit(text: str | None) -> Unit | None:
 
     A remark consists of clauses. One that names the gripper's value (jaw,
     opening, finger angle, encoder counts, ...) states the unit, in itself or in
-    the clause that goes on with it. Measurements of other things (an object
-    12 cm wide, a door open 0.9 m, a battery at 80 percent) state nothing.
+    the clause that goes on with it. A number directly before a length or an
+    angle makes it a measurement (an object 12 cm wide, a door open 0.9 m), not
+    a unit, unless the words before it make it the size of a step.
     """
     if not text or not text.strip():
         return None
     clauses = [tokens(c) for c in re.split(r";|,|\.\s|\.$|:\s|\s-\s", unicodedata.normalize("NFKC", text))]
     clauses = [[t for t in c if t not in "[]()"] for c in clauses if c]
     for i, clause in enumerate(clauses):
-        if not SUBJECT_WORDS & {w for t in clause for w in (t, *t.split("-"))}:
+        if not SUBJECT_WORDS & {w for t in clause for w in (t.lower(), *t.lower().split("-"))}:
             continue
         found = _scan(clause)
         if found is None and i + 1 < len(clauses):
@@ -318,21 +355,30 @@ def statement_unit(text: str | None) -> Unit | None:
     return None
 
 
+def _stepped(before: list[str]) -> bool:
+    """Whether the words before a quantity make it the size of a step: 'one step = 0.1 mm', 'counts of 0.1 mm', 'in 0.1 mm'."""
+    return bool(before) and before[-1].lower() in STEP_WORDS
+
+
 def _scan(clause: list[str], lead: bool = False) -> Unit | None:
     """The unit stated within a clause. lead: it must stand at the clause's beginning, but for fillers."""
     best: Unit | None = None
     longest = 0
     for at in range(len(clause)):
-        if lead and any(t not in FILLER for t in clause[:at]):
+        if lead and any(t.lower() not in FILLER for t in clause[:at]):
             break
-        if clause[at] in ("a", "k", "h", "s"):
+        if clause[at].lower() in LONE and (at + 1 == len(clause) or clause[at + 1] not in ("/", "*", "·", "^")):
             continue
+        if at and _number(clause[at - 1]) is not None and not (at > 1 and clause[at - 2] == "/"):
+            continue  # the number belongs to it
         p = _Parser(clause, at)
         unit = p.quotient()
-        if unit is None or (unit.dims == NONE and clause[at] == "full" and p.at - at < 2):
+        if unit is None or (unit.dims == NONE and clause[at].lower() == "full" and p.at - at < 2):
             continue
-        if clause[at] == "in" and p.at == at + 1 and at + 1 < len(clause):
+        if clause[at].lower() == "in" and p.at == at + 1 and at + 1 < len(clause):
             continue  # the preposition
+        if _number(clause[at]) is not None and unit.dims != NONE and not _stepped(clause[:at]):
+            continue  # a measurement: "12 cm wide"
         if p.at - at > longest:
             best, longest = unit, p.at - at
     return best

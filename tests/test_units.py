@@ -80,3 +80,23 @@ def test_openings_by_hand(spark):
 def test_any_quantity(spark):
     df = spark.createDataFrame([(25.0, "degC"), (1.0, "ft"), (2.0, None), (None, "m"), (float("nan"), "m")], "v double, u string")
     assert [round(r["canonical_value"], 6) if r["canonical_value"] is not None else None for r in to_canonical(df, "v", "u").collect()] == [298.15, 0.3048, None, None, None]
+
+
+@pytest.mark.parametrize(
+    "text, dims, scale",
+    [("MPa", (-1, 1, -2), 1e6), ("mPa", (-1, 1, -2), 1e-3), ("kPa", (-1, 1, -2), 1e3), ("MHz", (0, 0, -1), 1e6), ("mHz", (0, 0, -1), 1e-3), ("Nm", (2, 1, -2), 1.0), ("N m", (2, 1, -2), 1.0), ("nm", (1, 0, 0), 1e-9), ("N·m", (2, 1, -2), 1.0),
+     ("m/s²", (1, 0, -2), 1.0), ("m s⁻²", None, None), ("m³", (3, 0, 0), 1.0), ("s⁻¹", (0, 0, -1), 1.0), ("MM", (1, 0, 0), 1e-3), ("CM", (1, 0, 0), 1e-2), ("GW", (2, 1, -3), 1e9), ("megahertz", None, None), ("kilonewtons", (1, 1, -2), 1e3)],
+)
+def test_symbols_in_their_case(text, dims, scale):
+    u = parse_unit(text)
+    assert (u is None and dims is None) or (u.dims[:3] == dims and u.scale == pytest.approx(scale))
+
+
+@pytest.mark.parametrize("remark", ["jaw opened while object 12 cm wide", "gripper 3 m from the door", "jaw value seen from 40 mm away"])
+def test_quantities_are_no_units(remark):
+    assert statement_unit(remark) is None
+
+
+@pytest.mark.parametrize("remark, want", [("gripper moved 3 m away, value in mm", (L, 1e-3)), ("jaw value in mm, object 12 cm wide", (L, 1e-3)), ("jaw gap counts of 0.1 mm", (L, 1e-4)), ("gripper value in MM", (L, 1e-3))])
+def test_units_beside_quantities(remark, want):
+    assert short(statement_unit(remark)) == want
