@@ -5,8 +5,15 @@ from the look-alike table, decompose again. Texts look the same exactly if
 their skeletons are equal. Prototypes: width forms and mathematical letters
 stand for the plain character, every kind of blank for a space, line ends for
 one kind of line end; invisible characters vanish; look-alike letters of other
-scripts stand for the Latin letter. Letters that merely resemble each other
-within a script (O and 0, l and 1) and other cases of a letter keep apart.
+scripts stand for the Latin letter. Ligatures, digraphs, Roman numerals, dot
+leaders and Kangxi radicals stand for what Unicode's data says they are made of.
+
+Kept apart, since a reader tells them apart: letters that merely resemble each
+other within a script (O and 0, l and 1), other cases of a letter, letters
+without their dot or accent (dotless i, Greek iota), small letters of other
+scripts in the form of capitals or with another stroke (Cyrillic ka, te, em,
+Greek alpha, kappa, eta, Cyrillic omega), small capitals, raised and lowered,
+circled and squared signs, typographic quotes, and dashes of other lengths.
 
 ``same_look_pairs`` groups by skeleton without bringing a group together: the
 texts are reduced to distinct (skeleton, text) classes with a map-side combine,
@@ -35,19 +42,27 @@ from kinelake.session import materialize
 # Letters of other scripts and the Latin letters that they look like.
 LOOKALIKES = {
     # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
     "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ү": "y",
     # Armenian
-    "օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ց": "g",
+    "օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ց": "g", "ո": "n",
     # Cherokee
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
-    # hyphens
-    "‐": "-", "‑": "-", "−": "-",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin letters of phonetic writing
+    "ɡ": "g", "ɑ": "a",
+    # hyphens, strokes, dots
+    "‐": "-", "‑": "-", "−": "-", "˗": "-", "⁄": "/", "∕": "/", "∶": ":", "꞉": ":", "⋅": "·", "∙": "·", "‧": "·", "ʼ": "’",
 }
 #: Compatibility decompositions that keep the look: width forms, non-breaking forms, letters in another font.
 LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
+#: Kinds of characters whose other compatibility decompositions keep the look, by the first words of their names.
+MADE_OF = ("KANGXI RADICAL", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL", "HORIZONTAL ELLIPSIS", "TWO DOT LEADER", "ONE DOT LEADER", "MICRO SIGN", "ALEF SYMBOL", "BET SYMBOL", "GIMEL SYMBOL", "DALET SYMBOL")
 LINE_ENDS = "\n\r\x0b\x0c\x85\u2028\u2029"
 #: Characters without a look besides those of category Cf and Cc.
 BLANK_MARKS = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
@@ -70,11 +85,17 @@ def prototype(c: str) -> str:
     if c in LOOKALIKES:
         return LOOKALIKES[c]
     tag, _, rest = unicodedata.decomposition(c).partition(" ")
-    if tag in LOOK_TAGS:
+    if tag in LOOK_TAGS or (tag == "<compat>" and _made_of(c, rest)):
         return "".join(prototype(chr(int(x, 16))) for x in rest.split())
     return c
 
 
+def _made_of(c: str, rest: str) -> bool:
+    """Whether a compatibility decomposition only takes a ligature or a digraph apart, or is of a kind that keeps the look."""
+    parts = [chr(int(x, 16)) for x in rest.split()]
+    return unicodedata.name(c, "").startswith(MADE_OF) or (len(parts) > 1 and unicodedata.category(c)[0] == "L" and all(unicodedata.category(p)[0] in "LM" for p in parts))
+
+
 class _Table(dict):
     """Prototypes by code point, worked out as characters turn up."""
 
@@ -148,6 +169,14 @@ def same_look_pairs(documents: DataFrame) -> DataFrame:
     return pairs.join(left, "exact_a").join(right, "exact_b").select(F.least("d_a", "d_b").alias("doc_id_a"), F.greatest("d_a", "d_b").alias("doc_id_b"))
 
 
+def same_look_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_texts): every document with a skeleton that isn't blank, its class (the least doc_id that looks the same), and how many different texts look like that."""
+    rows = materialize(looks(documents))
+    texts = rows.groupBy("look", "exact").agg(F.min("doc_id").alias("least"))
+    classes = texts.groupBy("look").agg(F.min("least").alias("class_id"), F.count("*").alias("n_texts"))
+    return rows.join(classes, "look").select("doc_id", "class_id", "n_texts")
+
+
 def consistent_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, form): the consistent form of every text; null for null."""
     ddl = "doc_id long, form string"

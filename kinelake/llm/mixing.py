@@ -62,27 +62,32 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total: int | None =
     goals = materialize(_targets(targets))
     listed = documents.select("doc_id", "source", "text").join(goals.select("source"), "source", "left_semi")
     counted = count_tokens(listed, ["doc_id", "source"], path=path).where("n_tokens > 0")
-    rows = materialize(counted.withColumn("mix_key", F.xxhash64("doc_id", F.lit(seed))))
+    # rows that repeat a document are one row with their number, so that no key is hot
+    copies = counted.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("n_copies"))
+    rows = materialize(copies.withColumn("mix_key", F.xxhash64("doc_id", F.lit(seed))))
 
-    per_source = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # a row a listed source
+    per_source = {r["source"]: r for r in rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("t"), F.count("*").alias("n")).collect()}  # a row a listed source
     goal_rows = goals.collect()
     plan = budgets({s: r["t"] for s, r in per_source.items()}, {r["source"]: (r["target_share"], r["max_repeats"]) for r in goal_rows}, total)
 
     biggest = max((r["n"] for r in per_source.values()), default=1)
     bits = min(30, max(1, (biggest // ROWS_PER_RANGE).bit_length() + 1))
     place = F.shiftrightunsigned(F.col("mix_key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).alias("range_no")
-    ranged = rows.select("*", place)
+    ranged = rows.select("*", place, (F.col("n_tokens") * F.col("n_copies")).alias("all_tokens"))
     offset = Window.partitionBy("source").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranged.groupBy("source", "range_no").agg(F.sum("n_tokens").alias("range_tokens")).select("source", "range_no", F.coalesce(F.sum("range_tokens").over(offset), F.lit(0)).alias("before_range"))
-    within = Window.partitionBy("source", "range_no").orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranged.groupBy("source", "range_no").agg(F.sum("all_tokens").alias("range_tokens")).select("source", "range_no", F.coalesce(F.sum("range_tokens").over(offset), F.lit(0)).alias("before_range"))
+    within = Window.partitionBy("source", "range_no").orderBy("mix_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     budget = spark.createDataFrame([(s, e, r) for s, (e, r) in plan.items()], "source string, epochs int, beyond double")
-    placed = ranged.withColumn("in_range", F.sum("n_tokens").over(within)).join(ranges, ["source", "range_no"]).join(budget, "source")
-    middle = F.col("before_range") + F.col("in_range") - F.col("n_tokens") / 2
-    uses = F.col("epochs") + F.when((F.col("beyond") > 0) & (middle <= F.col("beyond")), 1).otherwise(0)
-    mix = placed.select("doc_id", "source", "n_tokens", uses.cast("int").alias("n_uses")).where("n_uses > 0")
+    placed = ranged.withColumn("in_range", F.sum("all_tokens").over(within)).join(ranges, ["source", "range_no"]).join(budget, "source")
+    # a copy is used once more if its middle lies within what the budget reaches of the last epoch
+    reach = (F.col("beyond") - (F.col("before_range") + F.col("in_range") - F.col("all_tokens"))) / F.col("n_tokens")
+    more = F.when(F.col("beyond") > 0, F.least(F.greatest(F.floor(reach + 0.5), F.lit(0)), F.col("n_copies"))).otherwise(F.lit(0))
+    parts = F.array(F.struct((F.col("epochs") + 1).alias("n_uses"), more.alias("n")), F.struct(F.col("epochs").alias("n_uses"), (F.col("n_copies") - more).alias("n")))
+    part = placed.select("doc_id", "source", "n_tokens", F.explode(parts).alias("p")).where("p.n > 0 and p.n_uses > 0")
+    mix = part.select("doc_id", "source", "n_tokens", F.col("p.n_uses").cast("int").alias("n_uses"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.n"))).alias("copy")).drop("copy")
 
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens_used"))
-    have = rows.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("tokens_available"))
+    have = rows.groupBy("source").agg(F.sum("n_copies").alias("n_documents"), F.sum(F.col("n_tokens") * F.col("n_copies")).alias("tokens_available"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     shares = goals.join(have, "source", "left").join(used, "source", "left").select("source", "target_share", "max_repeats", zero("n_documents"), zero("tokens_available"), zero("tokens_used"))
     all_used = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # one row a listed source

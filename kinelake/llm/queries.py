@@ -37,9 +37,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its class of texts that look the same."""
+    return lookalike.same_look_classes(table(spark, d, "documents"))
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every text."""
     return lookalike.consistent_texts(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_classes, p9_forms)}

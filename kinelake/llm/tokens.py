@@ -1,7 +1,7 @@
 """Encoding of a corpus with a public tokenizer, and token counts.
 
 A narrow Arrow stage without a shuffle: the text column and the id are all that
-is read; words are split once a batch and encoded once a worker process (see
+is read; the vocabulary file is shipped with the job; words are split once a batch and encoded once a worker process (see
 ``kinelake.llm.bpe``). Batches are cut into slices by bytes of text, so long
 texts don't pile up.
 
@@ -13,10 +13,12 @@ no rows.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -40,7 +42,7 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 def _encode(batches: Iterator[pa.RecordBatch], text: str, path: str, schema: pa.Schema, lists: bool) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute  # noqa: F401
 
-    enc = bpe.encoder(path)
+    enc = bpe.encoder(SparkFiles.get(os.path.basename(path)))
     for whole in batches:
         for batch in _slices(whole, text):
             at = batch.schema.get_field_index(text)
@@ -63,14 +65,20 @@ def _run(df: DataFrame, keep: list[str], text: str, path: str, column: str, kind
     out = StructType([*src.select(*keep).schema.fields, StructField(column, kind)])
     schema = to_arrow_schema(out)
     lists = isinstance(kind, ArrayType)
+    df.sparkSession.sparkContext.addFile(path)
     return src.mapInArrow(lambda it: _encode(it, text, path, schema, lists), out)
 
 
+def _vocabulary(df: DataFrame) -> str:
+    """The vocabulary file in the folder that the session names in spark.kinelake.tokenizers, else in the default one."""
+    return bpe.vocabulary_file(df.sparkSession.conf.get("spark.kinelake.tokenizers", bpe.DEFAULT_PATH))
+
+
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids) of every row."""
-    return _run(documents, [key], text, path or bpe.vocabulary_file(), "ids", ArrayType(IntegerType()))
+    return _run(documents, [key], text, path or _vocabulary(documents), "ids", ArrayType(IntegerType()))
 
 
 def count_tokens(documents: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """(keep..., n_tokens) of every row."""
-    return _run(documents, keep, text, path or bpe.vocabulary_file(), "n_tokens", LongType())
+    return _run(documents, keep, text, path or _vocabulary(documents), "n_tokens", LongType())

@@ -178,3 +178,28 @@ def test_pairs_against_brute_force(spark):
 def test_many_copies_of_one_text(spark):
     df = spark.range(1500).selectExpr("id as doc_id", "if(id = 0, 'Рick', 'Pick') as text")
     assert lookalike.same_look_pairs(df).count() == 1499
+
+
+@pytest.mark.parametrize("a, b", [("Ⅳ", "IV"), ("ﬁne", "fine"), ("wait…", "wait..."), ("1⁄2", "1/2"), ("a∶b", "a:b"), ("υp", "up"), ("oո", "on"), ("ɡo", "go"), ("ꓐⲞ", "BO"), ("⼀", "一"), ("µm", "μm"), ("ǆ", "dž")])
+def test_same_look_of_other_kinds(a, b):
+    assert lookalike.skeleton(a) == lookalike.skeleton(b)
+
+
+@pytest.mark.parametrize("a, b", [("ı", "i"), ("α", "a"), ("к", "k"), ("т", "t"), ("м", "m"), ("ѡ", "w"), ("η", "n"), ("ι", "i"), ("ſ", "s"), ("x₂", "x2"), ("①", "1"), ("½", "1/2"), ("–", "-"), ("“a”", '"a"'), ("ᴀ", "A"), ("µ", "u")])
+def test_other_look_of_other_kinds(a, b):
+    assert lookalike.skeleton(a) != lookalike.skeleton(b)
+
+
+def test_classes_of_texts_that_look_the_same(spark):
+    rows = [(5, "Pick"), (3, "Рick"), (9, "Pick"), (4, "pick"), (7, None), (8, " ")]
+    got = {tuple(r) for r in lookalike.same_look_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3, 2), (3, 3, 2), (9, 3, 2), (4, 4, 1)}
+
+
+def test_a_document_delivered_often_is_mixed_like_its_copies(spark):
+    docs = spark.createDataFrame([(1, "a", "one two three")] * 500 + [(2, "b", "one two three")] * 100, "doc_id long, source string, text string")
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mix_documents(docs, goals)
+    m = mix.groupBy("source", "n_uses").count().collect()
+    assert {tuple(r) for r in m} == {("a", 1, 200), ("b", 2, 100)}
+    assert {r["source"]: (r["n_documents"], r["actual_share"]) for r in shares.collect()} == {"a": (500, 0.5), "b": (100, 0.5)}
