@@ -33,6 +33,7 @@ import ast
 import json
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -475,8 +476,5 @@ def scene_links(records: DataFrame) -> DataFrame:
     """(scene_uid, link_kind, parent_id, child_id): the distinct parent links of the related tables; link_kind is layout, tag or graph."""
     t = scene_tables(records, wide=False)
     as_link = lambda df, kind, a, b: df.select("scene_uid", F.lit(kind).alias("link_kind"), F.col(a).alias("parent_id"), F.col(b).alias("child_id"))
-    layout = None
-    for v in SUBTYPES:
-        part = as_link(t[f"objects_{v}"], "layout", "parent_id", "node_id")
-        layout = part if layout is None else layout.unionByName(part)
-    return layout.unionByName(as_link(t["tags"], "tag", "object_id", "tag")).unionByName(as_link(t["links"], "graph", "source", "target")).distinct()
+    parts = (as_link(t["objects"], "layout", "parent_id", "node_id"), as_link(t["tags"], "tag", "object_id", "tag"), as_link(t["links"], "graph", "source", "target"))
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -155,9 +155,9 @@ def _partial_stats(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
         rows: list[tuple[np.ndarray, ...]] = []
 
         def count(source: np.ndarray, x: np.ndarray, field: int) -> None:
-            key, n = np.unique(np.stack([source, _bins(x)]), axis=1, return_counts=True)
+            key, n = np.unique(source.astype(np.int64) * (1 << 20) + (_bins(x) + (1 << 19)), return_counts=True)
             zero = np.zeros(len(n), np.int64)
-            rows.append((key[0], np.full(len(n), field), key[1], n, zero, zero))
+            rows.append((key >> 20, np.full(len(n), field), (key & (1 << 20) - 1) - (1 << 19), n, zero, zero))
 
         s = flat.seg[at]
         mine = (s[1:] == s[:-1]) & (flat.role[at][1:] == 1)

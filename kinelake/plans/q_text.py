@@ -34,7 +34,7 @@ def st02_choice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", tx.choice_letter(said).alias("letter"))
 
 
-@R.query("SELECT doc_id, trim(regexp_replace(text, '[\\r\\n]+$', '')) AS clean FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(9) || '%'")
+@R.query("SELECT doc_id, trim(regexp_replace(text, '[\\r\\n]+$', ''), ' ') AS clean FROM documents WHERE text IS NOT NULL")
 def st04_trim(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.trim(F.regexp_replace("text", r"[\r\n]+\z", "")).alias("clean"))
 
@@ -83,18 +83,30 @@ def st12_st13_actions(spark: SparkSession, d: str) -> DataFrame:
     return a.select("o_orderkey", arrows.alias("arrows"), tx.parse_actions(arrows).alias("codes"))
 
 
-@R.query("SELECT doc_id, replace('Do <instruction>. Answer.', '<instruction>.', left(text, 40)) || CASE WHEN n_chars > 300 THEN ' These are your historical observations <memory>.' ELSE '' END AS prompt FROM documents WHERE text IS NOT NULL")
+@R.query("SELECT doc_id, replace('Do <instruction>. Answer.', '<instruction>.', text) || CASE WHEN n_chars > 300 THEN ' These are your historical observations <memory>.' ELSE '' END AS prompt FROM documents WHERE text IS NOT NULL")
 def st14_prompt(spark: SparkSession, d: str) -> DataFrame:
     p = F.replace(F.lit("Do <instruction>. Answer."), F.lit("<instruction>."), F.col("text"))
     return docs(spark, d).select("doc_id", F.concat(p, F.when(F.col("n_chars") > 300, " These are your historical observations <memory>.").otherwise("")).alias("prompt"))
 
 
-@R.query("SELECT scene_id, string_agg('### ' || source || ': ' || doc_id || chr(10), '' ORDER BY doc_id) AS conversation FROM documents WHERE doc_id % 1 = 0 AND source IS NOT NULL GROUP BY 1")
-def st16_speakers(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with their speakers, ordered, one text a scene; a null text is an empty turn."""
+@R.query(
+    """WITH t AS (SELECT scene_id, string_agg('### ' || source || ': ' || coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS s FROM documents WHERE source IS NOT NULL GROUP BY 1)
+    SELECT scene_id, b AS part_no, substring(s, b * 65536 + 1, 65536) AS conversation FROM (SELECT scene_id, s, unnest(range(0, (length(s) + 65535) // 65536)) AS b FROM t)"""
+)
+def st16_speaker_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with their speakers, ordered, joined to one text a scene; a null text is an empty turn. The text comes in parts of 65536 characters, since a scene may hold a large share of all rows."""
     turn = F.concat(F.lit("### "), F.col("source"), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\n"))
-    g = table(spark, d, "documents").where("source is not null").groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", turn.alias("t")))).alias("a"))
-    return g.select("scene_id", F.array_join(F.transform("a", lambda s: s["t"]), "").alias("conversation"))
+    t = table(spark, d, "documents").where("source is not null").select(F.coalesce("scene_id", F.lit("\0")).alias("scene"), "doc_id", turn.alias("turn"), F.length(turn).cast("long").alias("n"))
+    part = F.substring("turn", F.col("record_from").cast("int") + 1, F.col("n_taken").cast("int"))
+    g = pieces(t, "scene", "doc_id", "n", 65536).groupBy("scene", "block_no").agg(F.sort_array(F.collect_list(F.struct("block_offset", part.alias("t")))).alias("a"))
+    return g.select(F.nullif("scene", F.lit("\0")).alias("scene_id"), F.col("block_no").alias("part_no"), F.array_join(F.transform("a", lambda s: s["t"]), "").alias("conversation"))
+
+
+@R.query("SELECT scene_id, string_agg('### ' || source || ': ' || coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS conversation FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def st16_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of each scene in one row, from its parts; for scenes whose text fits a row."""
+    g = st16_speaker_parts(spark, d).groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("part_no", "conversation"))).alias("a"))
+    return g.select("scene_id", F.array_join(F.transform("a", lambda s: s["conversation"]), "").alias("conversation"))
 
 
 @R.query()
@@ -122,7 +134,7 @@ def st19_st20_image_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", tx.splice_images(t, "<image>", -200).alias("spliced"), tx.move_tag_first(t).alias("moved"))
 
 
-@R.query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) + 128 AS est, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(11) || '%'")
+@R.query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) + 128 AS est, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def st21_estimates(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tx.length_estimate(F.col("text"), 1).cast("long").alias("est"), tx.token_estimate(F.col("text")).alias("tokens"))
 
