@@ -8,8 +8,10 @@ differ never share an output. Every output is validated against its inputs
 
 The plan: the listing is a distributed scan of (path, length), range
 partitioned by path, so that neighbours stay together; each task streams its
-files into outputs of about ``target_bytes``. Files that already have that
-size stay where they are. A task's outputs have fixed names and appear by
+files into outputs of about ``target_bytes`` and at most ``MOST_BLOCKS`` blocks.
+Files that already have that size stay where they are. Copying can't make small
+blocks larger: ``reencode_small_blocks`` is a separate call that rewrites outputs
+whose blocks are small on average. A task's outputs have fixed names and appear by
 rename, so a repeated attempt replaces equal files and nothing is lost or
 doubled when an executor dies.
 
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from kinelake.session import materialize, scratch_path
 from kinelake.sources import footer as ft
 
+#: Blocks of an output: enough for its size, few enough that its footer stays small; the ordinal of a block has 15 bits.
+MOST_BLOCKS = 4096
 MANIFEST = "out_path string, n_files long, n_blocks long, n_rows long, n_bytes long, kept boolean"
 
 
@@ -91,7 +95,9 @@ def copy_blocks(sources: list[tuple[str, dict]], target: str) -> dict:
                     new = dict(group)
                     new[ft.G_COLUMNS] = (ft.LIST, (ft.STRUCT, columns))
                     new[ft.G_OFFSET] = (ft.I64, begin)
-                    new[ft.G_ORDINAL] = (ft.I16, len(groups) & 0x7FFF)
+                    new.pop(ft.G_ORDINAL, None)
+                    if len(groups) <= 0x7FFF:  # a single input may have more
+                        new[ft.G_ORDINAL] = (ft.I16, len(groups))
                     groups.append(new)
         foot = dict(first)
         foot[ft.ROWS] = (ft.I64, sum(f[ft.ROWS][1] for _, f in sources))
@@ -121,18 +127,19 @@ def validate(path: str, fs, sources: list[tuple[str, dict]], size: int) -> dict:
     return {"n_blocks": blocks, "n_rows": rows, "n_bytes": size}
 
 
-def _compact_partition(batches: Iterator[pd.DataFrame], out_dir: str, target_bytes: int) -> Iterator[pd.DataFrame]:
+def _compact_partition(batches: Iterator[pd.DataFrame], out_dir: str, target_bytes: int, most_blocks: int) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
     pending: dict[bytes, list[tuple[str, dict]]] = {}
     held: dict[bytes, int] = {}
+    blocks: dict[bytes, int] = {}
     made = 0
 
     def flush(key: bytes) -> pd.DataFrame:
         nonlocal made
         row = copy_blocks(pending.pop(key), f"{out_dir}/part-{task:05d}-{made:05d}.parquet")
-        held.pop(key)
+        held.pop(key), blocks.pop(key)
         made += 1
         return pd.DataFrame([row])
 
@@ -148,20 +155,21 @@ def _compact_partition(batches: Iterator[pd.DataFrame], out_dir: str, target_byt
                 yield pd.DataFrame([{"out_path": path, "n_files": 1, "n_blocks": len(_blocks(foot)), "n_rows": foot[ft.ROWS][1], "n_bytes": length, "kept": True}])
                 continue
             key = ft.schema_key(foot)
-            if key in pending and held[key] + length > target_bytes:
+            n = len(_blocks(foot))
+            if key in pending and (held[key] + length > target_bytes or blocks[key] + n > most_blocks):
                 yield flush(key)
             pending.setdefault(key, []).append((path, foot))
-            held[key] = held.get(key, 0) + length
+            held[key], blocks[key] = held.get(key, 0) + length, blocks.get(key, 0) + n
     for key in list(pending):
         yield flush(key)
 
 
-def compact_parquet(spark: SparkSession, source: str, out_dir: str, target_bytes: int = 128 << 20) -> DataFrame:
+def compact_parquet(spark: SparkSession, source: str, out_dir: str, target_bytes: int = 128 << 20, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Compact the Parquet files at ``source`` into ``out_dir``; returns the manifest, one row an output.
 
-    ``out_dir`` must be a fresh folder that all executors share. Raises
-    ValueError if the outputs don't hold as many files, blocks and rows as the
-    inputs.
+    ``out_dir`` must be a fresh folder that all executors share. Every output is
+    checked against the schema, blocks and rows of its inputs; raises ValueError
+    also if the outputs together don't hold as many files and rows as the source.
     """
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
     total = listing.agg(F.sum("length").alias("b"), F.count("*").alias("n")).first()
@@ -172,14 +180,32 @@ def compact_parquet(spark: SparkSession, source: str, out_dir: str, target_bytes
     manifest = materialize(
         listing.repartitionByRange(parts, "path")
         .sortWithinPartitions("path")
-        .mapInPandas(lambda it: _compact_partition(it, out_dir, target_bytes), MANIFEST)
+        .mapInPandas(lambda it: _compact_partition(it, out_dir, target_bytes, most_blocks), MANIFEST)
     )
-    done = manifest.agg(F.coalesce(F.sum("n_files"), F.lit(0)).alias("f")).first()
-    if done["f"] != n_in:
-        raise ValueError(f"{done['f']} of {n_in} files were compacted")
+    done = manifest.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_files", "n_rows")]).first()
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(source).count() if n_in else 0  # read from the footers
+    if done["n_files"] != n_in or done["n_rows"] != rows:
+        raise ValueError(f"{done['n_files']} of {n_in} files and {done['n_rows']} of {rows} rows were compacted")
     return manifest
 
 
+def reencode_small_blocks(spark: SparkSession, manifest: DataFrame, out_dir: str, least_block_bytes: int = 1 << 20, target_bytes: int = 128 << 20) -> tuple[list[str], list[str]]:
+    """Rewrites, decoded, the outputs whose blocks hold less than ``least_block_bytes`` on average; (paths replaced, paths written).
+
+    The caller swaps the paths; nothing is deleted. Rows keep their order within
+    a file; no shuffle. Outputs are few (input bytes / target_bytes), so their paths may pass the driver.
+    """
+    small = [r["out_path"] for r in manifest.where(F.col("n_bytes") < F.col("n_blocks") * least_block_bytes).select("out_path", "n_bytes").collect()]
+    if not small:
+        return [], []
+    size = manifest.where(F.col("n_bytes") < F.col("n_blocks") * least_block_bytes).agg(F.sum("n_bytes")).first()[0]
+    spark.read.parquet(*small).coalesce(max(1, -(-size // target_bytes))).write.mode("error").parquet(out_dir)
+    fs, local = _open(out_dir)
+    from pyarrow.fs import FileSelector
+
+    return small, [f.path for f in fs.get_file_info(FileSelector(local)) if f.base_name.endswith(".parquet")]
+
+
 def read_compacted(spark: SparkSession, source: str, out_dir: str, manifest: DataFrame) -> DataFrame:
     """The records of a compacted folder, and of the large files that stayed; row totals are checked by the manifest."""
     whole = spark.read.parquet(source).schema
@@ -210,13 +236,14 @@ def with_record_key(df: DataFrame, path: str = "file_path") -> DataFrame:
     repeated uploads ("name (1).jpg", "name - Copy.jpg", "name.jpg~") don't count.
     """
     p = F.col(path)
-    for _ in range(2):
-        p = F.when(F.contains(p, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)).otherwise(p)
+    decode = lambda x, _: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    # a percent code that is itself encoded has a 25 for each layer
+    p = F.when(F.contains(p, F.lit("%")), F.aggregate(F.sequence(F.lit(0), F.regexp_count(p, F.lit("25"))), p, decode)).otherwise(p)
     df = _once(df, F.lower(F.translate(p, "\\", "/")), "__path")
     p = F.col("__path")
     steps = F.regexp_replace(p, r"/(?:\./|/)+", "/")
-    for _ in range(4):
-        steps = F.regexp_replace(steps, r"(^|/)(?!\.\./)[^/]+/\.\.(?=/|$)/?", "$1")
+    up = lambda x, _: F.regexp_replace(x, r"(^|/)(?!\.\./)[^/]+/\.\.(?=/|$)/?", "$1")
+    steps = F.aggregate(F.sequence(F.lit(0), F.regexp_count(steps, F.lit(r"\.\."))), steps, up)
     plain = F.when(F.contains(p, F.lit("/.")) | F.contains(p, F.lit("//")), F.regexp_replace(steps, r"/(?:\./|/)+", "/")).otherwise(p)
     df = _once(df, F.split(F.regexp_replace(plain, RECORD_PATH, "$1\n$2_$3\n$4"), "\n"), "__hit")
     hit = F.col("__hit")

@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a local folder
-    is chosen and set.
+    Where the session names none, a local master (everything runs on one
+    machine) gets a local folder; on a cluster that raises RuntimeError, since
+    executors don't share local folders.
     """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if not have.isEmpty():
         return have.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = "file://" + os.path.join(tempfile.gettempdir(), "kinelake-shared")
     sc.setCheckpointDir(local)
     return sc._jsc.sc().getCheckpointDir().get()

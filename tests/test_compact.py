@@ -97,3 +97,30 @@ def test_hot_record(spark):
 
 def test_tiny_parquet_is_readable():
     assert pq.read_table(pa.BufferReader(compact.tiny_parquet(pd.DataFrame({"a": [1]})))).num_rows == 1
+
+
+def test_outputs_have_a_bounded_number_of_blocks(spark, tmp_path):
+    import glob
+
+    from kinelake.operators import compact
+
+    for i in range(40):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i:02d}.parquet").write_bytes(compact.tiny_parquet(pd.DataFrame({"a": [i, i + 100]})))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    manifest = compact.compact_parquet(spark, source, out).toPandas()
+    assert manifest.n_rows.sum() == 80 and manifest.n_files.sum() == 40 and len(manifest) == 1
+    bounded = compact.compact_parquet(spark, source, str(tmp_path / "more"), most_blocks=8).toPandas()
+    assert len(bounded) == 5 and (bounded.n_blocks == 8).all()
+    first = spark.createDataFrame(manifest)
+    old, new = compact.reencode_small_blocks(spark, first, str(tmp_path / "big"))
+    assert len(old) == 1 and sorted(r["a"] for r in spark.read.parquet(*new).collect()) == sorted([*range(40), *range(100, 140)])
+    assert len(glob.glob(str(tmp_path / "out" / "*.parquet"))) == 1
+
+
+def test_paths_with_many_layers(spark):
+    from kinelake.operators import compact
+
+    paths = ["e/a/b/c/d/e/f/../../../../../../12/head_color.jpg", "e/12/head%25252525255fcolor.jpg", "e/%252E/12/head_color.jpg"]
+    df = compact.with_record_key(spark.createDataFrame([(p,) for p in paths], "file_path string"))
+    assert [(r["frame_no"], r["camera"]) for r in df.collect()] == [("12", "head_color")] * 3
