@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -114,6 +116,24 @@ def path_length(df: DataFrame, coordinates: Sequence[str], keys: Sequence[str],
 
 def ema(values: Column, alpha: float) -> Column:
     """Exponential smoothing of an array, started by its first value; returns the array of smoothed values."""
-    start = F.slice(values, 1, 1)
-    step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * (1 - alpha) + x * alpha))
-    return F.when(F.size(values) == 0, start).otherwise(F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), start, step))
+    return recurrence(values, 1 - alpha, alpha, 1.0)
+
+
+def recurrence(values: Column, keep: float, take: float, first: float) -> Column:
+    """s_1 = first * x_1, then s_i = keep * s_(i-1) + take * x_i, for each array; a null value gives nulls from there on. Linear in the array's length."""
+
+    @F.pandas_udf("array<double>")
+    def run(arrays: pd.Series) -> pd.Series:
+        out = []
+        for a in arrays:
+            x = None if a is None else np.asarray(a, dtype=float)
+            if x is not None and len(x):
+                s, res = first * x[0], [first * x[0]]
+                for v in x[1:].tolist():
+                    s = keep * s + take * v
+                    res.append(s)
+                x = np.array(res)
+            out.append(x)
+        return pd.Series(out)
+
+    return run(values)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -183,14 +181,19 @@ def ag54_waypoint_reward(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r6(-0.01 + F.coalesce(F.lag("value").over(w) - v, F.lit(0.0)) + F.when(v < 3, 10).otherwise(0)).alias("reward"))
 
 
-def _stream(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
-    """The events as a file stream."""
-    return live.file_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema, files)
+def _stream(spark: SparkSession, d: str, files: int = 1, cuts: int = 4) -> DataFrame:
+    """The events as a stream of files that arrive one after another, in order of time, ``files`` a trigger."""
+    e, path = table(spark, d, "events"), scratch_path(spark, "arrivals")
+    span = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b")).first()
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span["a"])) * cuts / F.lit(max(1, (span["b"] or 0) - (span["a"] or 0)))), F.lit(cuts - 1))
+    for i in range(cuts):
+        e.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return live.file_stream(spark, path, e.schema, files)
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
-    return live.run_once(stream, "s" + uuid.uuid4().hex, mode, scratch_path(spark, "stream"))
+    return live.run_once(stream, mode, scratch_path(spark, "stream"), scratch_path(spark, "result"))
 
 
 @R.query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY 1")
@@ -214,9 +217,38 @@ def sm02_sm05_gate(spark: SparkSession, d: str) -> DataFrame:
     return _run(live.gated(_stream(spark, d), "signup", "purchase"), "append")
 
 
-@R.query()
+@R.query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def sm08_sm11_keep_last(spark: SparkSession, d: str) -> DataFrame:
-    """The directory poller with a sink that keeps each user's last row."""
+    """The directory poller with a sink that keeps each user's last row over all batches."""
     out, mark = scratch_path(spark, "last"), scratch_path(spark, "stream")
     live.keep_last_sink(_stream(spark, d), out, ["user_id"], ["ts", "event_id"], mark).awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_id", "event_type")
+    return live.read_kept(spark, out).select("user_id", "event_id", "event_type")
+
+
+@R.query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r(user_id, n, t, event_id) AS (SELECT user_id, n, t, event_id FROM e WHERE n = 1 UNION ALL
+      SELECT user_id, n, t, event_id FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.n) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n > r.n AND e.t - r.t >= 86400) WHERE k = 1)
+    SELECT user_id, event_id FROM r"""
+)
+def sm12_paced(spark: SparkSession, d: str) -> DataFrame:
+    """A rate limiter: at most one row a day and user, counted from the last one that passed."""
+    return _run(live.paced(_stream(spark, d), 1 / 86400), "append")
+
+
+@R.query("SELECT event_id, user_id, event_type FROM events")
+def sm16_state_log(spark: SparkSession, d: str) -> DataFrame:
+    """The append-only log of frame states: every row once, whatever batch it came in."""
+    out, mark = scratch_path(spark, "log"), scratch_path(spark, "stream")
+    live.state_log(_stream(spark, d), out, mark).awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(out).select("event_id", "user_id", "event_type")
+
+
+@R.query(
+    """SELECT user_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM events
+    WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2"""
+)
+def sm13_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Chunked windows of a stream: those that the watermark has closed."""
+    w = _run(live.windows(_stream(spark, d), "user_id", "1 day"), "append")
+    return w.select("user_id", F.unix_micros("start_at").alias("start_us"), "n")

@@ -318,11 +318,16 @@ def pf11_end_higher(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.user_id % 10 AS grp, bool_and(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 0.05) AS apart FROM l a JOIN l b ON a.user_id % 10 = b.user_id % 10 AND a.user_id < b.user_id GROUP BY 1"""
 )
 def pf12_distances(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of an episode's objects in the last frame: the group is an episode's few objects."""
+    """No two objects of a group nearer than 0.05 in the last frame: only objects in the same or neighbouring cells of that size meet."""
     l = base(spark, d).groupBy("user_id").agg(F.max_by("ax", "event_id").alias("x"), F.max_by("ay", "event_id").alias("y")).withColumn("grp", F.col("user_id") % 10)
-    b = l.select("grp", *[F.col(c).alias("b_" + c) for c in ("user_id", "x", "y")])
-    far = g.distance((F.col("x"), F.col("y")), (F.col("b_x"), F.col("b_y"))) > 0.05
-    return l.join(b, "grp").where("user_id < b_user_id").groupBy("grp").agg(F.bool_and(far).alias("apart"))
+    cell = lambda c: F.floor(F.col(c) / 0.05)
+    a = l.select("*", cell("x").alias("gx"), cell("y").alias("gy"))
+    around = F.array(*[F.lit(o) for o in (-1, 0, 1)])
+    b = a.select("grp", *[F.col(c).alias("b_" + c) for c in ("user_id", "x", "y")], F.explode(F.transform(around, lambda o: F.col("gx") + o)).alias("gx"), "gy")
+    b = b.select("grp", "b_user_id", "b_x", "b_y", "gx", F.explode(F.transform(around, lambda o: F.col("gy") + o)).alias("gy"))
+    near = a.join(b, ["grp", "gx", "gy"]).where("user_id < b_user_id").where(g.distance((F.col("x"), F.col("y")), (F.col("b_x"), F.col("b_y"))) <= 0.05).select("grp").distinct()
+    several = l.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    return several.join(near.withColumn("apart", F.lit(False)), "grp", "left").select("grp", F.coalesce("apart", F.lit(True)).alias("apart"))
 
 
 @R.query(BASE + REL + "SELECT event_id, rx BETWEEN -5 AND 5 AND ry BETWEEN -2 AND 6 AND rz BETWEEN 0 AND 9 AS inside FROM f")

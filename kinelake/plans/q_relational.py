@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinelake.operators.order_stats import first_rows
 from kinelake.plans.registry import Registry, r6
 from kinelake.session import table
 
@@ -191,8 +192,7 @@ def sr05_weighted_rank(spark: SparkSession, d: str) -> DataFrame:
 def sr07_first_percent(spark: SparkSession, d: str) -> DataFrame:
     """first:10 %, rounded up; a sampling operator."""
     o = table(spark, d, "orders").select("o_orderkey")
-    n = -(-o.count() * 10 // 100)
-    return o.orderBy("o_orderkey").limit(n)
+    return first_rows(o, "o_orderkey", -(-o.count() * 10 // 100))
 
 
 @R.query("SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(s_suppkey::VARCHAR || ':7'), s_suppkey) AS k FROM supplier) WHERE k <= 2")

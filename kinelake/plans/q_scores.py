@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.operators import scoring, timeseries
+from kinelake.operators.order_stats import percentiles
 from kinelake.plans.registry import Registry, micros, r6
 from kinelake.session import table
 
@@ -208,8 +209,7 @@ def ag28_recent_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT l_returnflag, round((quantile_cont(l_extendedprice, 0.98) + quantile_cont(l_extendedprice, 0.02)) / 2, 4) AS centre FROM lineitem GROUP BY 1")
 def ag30_trimmed_centre(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.02), F.lit(0.98)))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(p.alias("p")).select("l_returnflag", F.round((F.col("p")[0] + F.col("p")[1]) / 2, 4).alias("centre"))
+    return percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.02, 0.98]).select("l_returnflag", F.round((F.col("p")[0] + F.col("p")[1]) / 2, 4).alias("centre"))
 
 
 @R.query(
@@ -228,13 +228,14 @@ def ag31_ground_level(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.10) + 0.05 * (max(l_extendedprice) - min(l_extendedprice)), 4) AS ground FROM lineitem GROUP BY 1")
 def ag32_ground_percentile(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile(p, 0.10) + 0.05 * (F.max(p) - F.min(p)), 4).alias("ground"))
+    x = percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.10, 0.0, 1.0])
+    return x.select("l_returnflag", F.round(F.col("p")[0] + 0.05 * (F.col("p")[2] - F.col("p")[1]), 4).alias("ground"))
 
 
 @R.query("SELECT l_linestatus, round(median(l_extendedprice), 4) AS median_ground, round(quantile_cont(l_extendedprice, 0.10), 4) AS fallback FROM lineitem GROUP BY 1")
 def ag33_median_ground(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(F.median("l_extendedprice"), 4).alias("median_ground"), F.round(F.percentile("l_extendedprice", 0.10), 4).alias("fallback"))
+    x = percentiles(table(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice", [0.5, 0.10])
+    return x.select("l_linestatus", F.round(F.col("p")[0], 4).alias("median_ground"), F.round(F.col("p")[1], 4).alias("fallback"))
 
 
 @R.query(
@@ -243,7 +244,8 @@ def ag33_median_ground(spark: SparkSession, d: str) -> DataFrame:
 )
 def ag34_robust_scale(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem")
-    m = x.groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("med"), F.count("*").alias("n")).where("n > 10").drop("n")
+    many = x.groupBy("l_returnflag").agg(F.count("*").alias("n")).where("n > 10").drop("n")
+    m = percentiles(x, ["l_returnflag"], "l_extendedprice", [0.5]).join(many, "l_returnflag").select("l_returnflag", F.col("p")[0].alias("med"))
     return x.join(m, "l_returnflag").groupBy("l_returnflag").agg(F.round(F.first("med"), 4).alias("middle"), F.round(F.avg(F.abs(F.col("l_extendedprice") - F.col("med"))), 4).alias("spread"))
 
 

@@ -223,7 +223,7 @@ def wn20_21_smoothing(spark: SparkSession, d: str) -> DataFrame:
 def wn22_advantages(spark: SparkSession, d: str) -> DataFrame:
     """Reverse scan: A_t = delta_t + 0.9 A_{t+1}, with delta the value less 30, over each user-day."""
     x = events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")), asc=False).alias("e"))
-    back = F.aggregate("e", F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(v["value"] - 30 + 0.9 * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
+    back = ts.recurrence(F.transform("e", lambda v: v["value"] - 30), 0.9, 1.0, 1.0)
     return x.select("user_id", "day", F.posexplode(F.reverse(back)).alias("step_no", "advantage")).withColumn("advantage", r6("advantage"))
 
 

@@ -298,8 +298,9 @@ def ag56_category_json(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def sr15_length_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Length-grouped batches: within hash-random megabatches documents are dealt to eight chunks by length, serpentine, so chunk loads are even."""
-    n = docs(spark, d).select("doc_id", "n_chars").withColumn("mega", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    """Length-grouped batches: within hash-random megabatches documents are dealt to eight chunks by length, serpentine, so chunk loads are even. The number of megabatches grows with the documents, 16 at least."""
+    x = docs(spark, d).select("doc_id", "n_chars")
+    n = x.withColumn("mega", F.pmod(F.xxhash64("doc_id"), F.lit(max(16, -(-x.count() // 65_536)))))
     k = F.row_number().over(Window.partitionBy("mega").orderBy(F.desc("n_chars"), "doc_id")) - 1
     x = n.withColumn("k", k)
     turn = F.floor(F.col("k") / 8) % 2

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kinelake.operators.order_stats import first_rows
+
 
 def read_json_documents(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.json", recursive: bool = True) -> DataFrame:
     """One row a JSON file, with its path; a broken file is a row with ``_corrupt_record``."""
@@ -45,15 +47,15 @@ def read_datasets(spark: SparkSession, entries: Sequence[dict], schema: StructTy
 
 
 def sample_rows(df: DataFrame, strategy: str, key: str) -> DataFrame:
-    """The sampling operator: first:N, end:N, random:N, each also with N%; order by ``key``, random by a fixed hash of it."""
+    """The sampling operator: first:N, end:N, random:N, each also with N%; order by ``key``, random by a fixed hash of it. ``key`` is a number."""
     kind, _, amount = strategy.partition(":")
     if kind == "all":
         return df
     n = -(-df.count() * int(amount[:-1]) // 100) if amount.endswith("%") else int(amount)
-    order = {"first": [F.col(key)], "end": [F.col(key).desc()], "random": [F.xxhash64(key, F.lit(7)), F.col(key)]}
+    order = {"first": F.col(key), "end": -F.col(key), "random": F.xxhash64(key, F.lit(7))}
     if kind not in order:
         raise ValueError(f"unknown sampling strategy {strategy!r}")
-    return df.orderBy(*order[kind]).limit(n)
+    return first_rows(df, order[kind], n, [key])
 
 
 def read_dirty_scores(spark: SparkSession, path: str, label_column: int = 1) -> DataFrame:
