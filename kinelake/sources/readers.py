@@ -46,6 +46,37 @@ def read_datasets(spark: SparkSession, entries: Sequence[dict], schema: StructTy
     return out
 
 
+def dataset_entries(text: str) -> list[dict]:
+    """The entries of a dataset list in YAML or JSON: a list, or a map with a list under ``datasets``. Raises ValueError for anything else."""
+    import json
+
+    try:
+        value = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("reading YAML needs a YAML library; give the list as JSON") from e
+        value = yaml.safe_load(text)
+    entries = value.get("datasets") if isinstance(value, dict) else value
+    if not isinstance(entries, list) or not all(isinstance(e, dict) and "json_path" in e for e in entries):
+        raise ValueError("a dataset list has entries with a json_path")
+    return entries
+
+
+def sample_files(spark: SparkSession, folder: str, strategy: str, pattern: str = "*.jsonl") -> list[str]:
+    """The paths of a folder's files by the same strategies: first:N, end:N, random:N (seeded by the path), each also with N%."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    kind, _, amount = strategy.partition(":")
+    if kind == "all":
+        return sorted(r["path"] for r in f.collect())  # the names of files, not their rows
+    n = -(-f.count() * int(amount[:-1]) // 100) if amount.endswith("%") else int(amount)
+    order = {"first": [F.col("path")], "end": [F.col("path").desc()], "random": [F.xxhash64(F.element_at(F.split("path", "/"), -1), F.lit(7)), F.col("path")]}
+    if kind not in order:
+        raise ValueError(f"unknown sampling strategy {strategy!r}")
+    return [r["path"] for r in f.orderBy(*order[kind]).limit(n).collect()]
+
+
 def sample_rows(df: DataFrame, strategy: str, key: str) -> DataFrame:
     """The sampling operator: first:N, end:N, random:N, each also with N%; order by ``key``, random by a fixed hash of it. ``key`` is a number."""
     kind, _, amount = strategy.partition(":")
@@ -161,12 +192,12 @@ def read_colmap_points_text(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*[F.col("p")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")], *[F.col("p")[i + 4].cast("short").alias(c) for i, c in enumerate("rgb")], F.col("p")[7].cast("double").alias("error"))
 
 
-def read_colmap_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
-    """The same table from cameras.bin; a file that ends early gives the cameras before that."""
+def read_colmap_cameras_binary(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The same table from cameras.bin. A file that ends early or names an unknown model gives the cameras before that, or, if ``strict``, raises ValueError."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for data in b["content"]:
+            for where, data in zip(b["path"], b["content"]):
                 rows, at = [], 8
                 try:
                     for _ in range(struct.unpack_from("<Q", data)[0]):
@@ -174,11 +205,62 @@ def read_colmap_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
                         name, k = COLMAP_MODELS[model]
                         rows.append((cam, name, w, h, list(struct.unpack_from(f"<{k}d", data, at + 24))))
                         at += 24 + 8 * k
-                except (struct.error, KeyError):
-                    pass
+                except (struct.error, KeyError) as e:
+                    if strict:
+                        raise ValueError(f"{where}: camera {len(rows)} of the file can't be read") from e
                 yield pd.DataFrame(rows, columns=["camera_id", "model", "width", "height", "params"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "camera_id int, model string, width long, height long, params array<double>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "camera_id int, model string, width long, height long, params array<double>")
+
+
+def colmap_images(data: bytes) -> list[tuple]:
+    """(image_id, qw..qz, tx..tz, camera_id, name, point ids, x, y) of images.bin. Raises struct.error where it ends early."""
+    out, at = [], 8
+    for _ in range(struct.unpack_from("<Q", data)[0]):
+        head = struct.unpack_from("<i7di", data, at)
+        end = data.index(b"\0", at + 64)
+        n = struct.unpack_from("<Q", data, end + 1)[0]
+        flat = struct.unpack_from("<" + "ddq" * n, data, end + 9)
+        out.append((*head[:8], head[8], data[at + 64 : end].decode(), list(flat[2::3]), list(flat[0::3]), list(flat[1::3])))
+        at = end + 9 + 24 * n
+    return out
+
+
+def colmap_points(data: bytes) -> list[tuple]:
+    """(point_id, x, y, z, r, g, b, error, image ids of its track, places in them) of points3D.bin."""
+    out, at = [], 8
+    for _ in range(struct.unpack_from("<Q", data)[0]):
+        head = struct.unpack_from("<QdddBBBdQ", data, at)
+        flat = struct.unpack_from(f"<{2 * head[8]}i", data, at + 51)
+        out.append((*head[:8], list(flat[0::2]), list(flat[1::2])))
+        at += 51 + 8 * head[8]
+    return out
+
+
+def _binary_rows(spark: SparkSession, path: str, parse, ddl: str) -> DataFrame:
+    """The rows that ``parse`` finds in each file. Raises ValueError, naming the file, where one ends early."""
+    names = [c.strip().split(" ")[0] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for where, data in zip(b["path"], b["content"]):
+                try:
+                    rows = parse(data)
+                except (struct.error, ValueError) as e:
+                    raise ValueError(f"{where}: {e}") from e
+                yield pd.DataFrame(rows, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ddl)
+
+
+def read_colmap_images_binary(spark: SparkSession, path: str) -> DataFrame:
+    """The images of images.bin with the points that they see."""
+    return _binary_rows(spark, path, colmap_images, "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double, camera_id int, name string, point_ids array<long>, xs array<double>, ys array<double>")
+
+
+def read_colmap_points_binary(spark: SparkSession, path: str) -> DataFrame:
+    """The points of points3D.bin with their tracks."""
+    return _binary_rows(spark, path, colmap_points, "point_id long, x double, y double, z double, r short, g short, b short, error double, image_ids array<int>, places array<int>")
 
 
 def read_transforms(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +272,7 @@ def read_transforms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_header(data: bytes) -> tuple[str, int, int] | None:
-    """(type, width, height) from the first bytes of a PNG, GIF, BMP or JPEG; None for anything else."""
+    """(type, width, height) of a PNG, GIF, BMP or JPEG, without decoding it; a JPEG's segments are skipped by their lengths. None for anything else."""
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return ("png", *struct.unpack(">II", data[16:24]))
@@ -222,25 +304,74 @@ def with_image_header(df: DataFrame, content: str) -> DataFrame:
         rows = [image_header(bytes(x)) if x is not None else None for x in b]
         return pd.DataFrame([r or (None, None, None) for r in rows], columns=["type", "width", "height"])
 
-    return df.withColumn("header", probe(F.substring(content, 1, 65_536)))
+    return df.withColumn("header", probe(F.col(content)))
+
+
+def _bundle_lines(data: bytes) -> tuple[int, int, list[str]]:
+    lines = [x for x in data.decode("utf-8", "replace").splitlines() if x.strip() and not x.startswith("#")]
+    if not lines:
+        return 0, 0, []
+    n_cameras, n_points = (int(v) for v in lines[0].split()[:2])
+    return n_cameras, n_points, lines[1:]
+
+
+def bundle_points(data: bytes, most_points: int | None = None) -> list[tuple]:
+    """(point_no, x, y, z, r, g, b, n_views, cameras, keys, us, vs) of a Bundler file; views of cameras that it doesn't have, or that are cut off, are left out. Raises ValueError if points are missing."""
+    n_cameras, n_points, lines = _bundle_lines(data)
+    if most_points is not None and n_points > most_points:
+        return []
+    rest, rows = lines[5 * n_cameras :], []
+    if len(rest) < 3 * n_points:
+        raise ValueError(f"{len(rest) // 3} of {n_points} points")
+    for i in range(n_points):
+        view = rest[3 * i + 2].split()
+        seen = [(int(view[j]), int(view[j + 1]), float(view[j + 2]), float(view[j + 3])) for j in range(1, min(1 + 4 * int(view[0]), len(view) - 3), 4)]
+        seen = [v for v in seen if 0 <= v[0] < n_cameras]
+        rows.append((i, *map(float, rest[3 * i].split()[:3]), *map(int, rest[3 * i + 1].split()[:3]), int(view[0]), *([v[k] for v in seen] for k in range(4))))
+    return rows
+
+
+def bundle_cameras(data: bytes) -> list[tuple]:
+    """(camera_no, focal, k1, k2, rotation of nine, translation of three) of a Bundler file."""
+    n_cameras, _, lines = _bundle_lines(data)
+    out = []
+    for i in range(n_cameras):
+        values = [[float(v) for v in line.split()] for line in lines[5 * i : 5 * i + 5]]
+        out.append((i, *values[0], sum(values[1:4], []), values[4]))
+    return out
 
 
 def read_bundle(spark: SparkSession, path: str, most_points: int | None = None) -> DataFrame:
     """(point_no, x, y, z, r, g, b, n_views) of a Bundler file; none at all above ``most_points``."""
+    return read_bundle_views(spark, path, most_points).drop("cameras", "keys", "us", "vs")
+
+
+def read_bundle_views(spark: SparkSession, path: str, most_points: int | None = None) -> DataFrame:
+    """The same with the cameras, keys and places of the views of each point."""
+    ddl = "point_no long, x double, y double, z double, r int, g int, b int, n_views int, cameras array<int>, keys array<int>, us array<double>, vs array<double>"
+    return _binary_rows(spark, path, lambda data: bundle_points(data, most_points), ddl)
+
+
+def read_bundle_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """(camera_no, focal, k1, k2, rotation, translation) of a Bundler file."""
+    return _binary_rows(spark, path, bundle_cameras, "camera_no int, focal double, k1 double, k2 double, rotation array<double>, translation array<double>")
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """The columns of one table of SQLite files, by name; each file is read where a task runs, in slices."""
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
         for b in batches:
             for data in b["content"]:
-                lines = [x for x in data.decode("utf-8", "replace").splitlines() if x.strip() and not x.startswith("#")]
-                if not lines:
-                    continue
-                n_cameras, n_points = (int(v) for v in lines[0].split()[:2])
-                if most_points is not None and n_points > most_points:
-                    continue
-                rest = lines[1 + 5 * n_cameras :]
-                rows = []
-                for i in range(min(n_points, len(rest) // 3)):
-                    rows.append((i, *map(float, rest[3 * i].split()[:3]), *map(int, rest[3 * i + 1].split()[:3]), int(rest[3 * i + 2].split()[0])))
-                yield pd.DataFrame(rows, columns=["point_no", "x", "y", "z", "r", "g", "b", "n_views"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "point_no long, x double, y double, z double, r int, g int, b int, n_views int")
+                base = sqlite3.connect(":memory:")
+                base.deserialize(data)
+                quoted = ", ".join('"' + n.replace('"', '""') + '"' for n in names)
+                rows = base.execute(f'SELECT {quoted} FROM "{table}"')
+                while part := rows.fetchmany(10_000):
+                    yield pd.DataFrame(part, columns=names)
+                base.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
