@@ -111,8 +111,17 @@ def line_cells(a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]]:
     return out
 
 
-def in_sight(free: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> bool:
-    return all(free[y, x] for x, y in line_cells(a, b))
+def in_sight(free: np.ndarray, a: tuple[int, int], b: tuple[int, int], cost: np.ndarray | None = None, most: float | None = None) -> bool:
+    """Whether every cell of the line is free, no diagonal step passes a blocked corner, and, with a limit, no cell costs more than ``most``. Ends outside the map see nothing."""
+    h, w = free.shape
+    if not all(0 <= x < w and 0 <= y < h for x, y in (a, b)):
+        return False
+    line = line_cells(a, b)
+    if not all(free[y, x] for x, y in line):
+        return False
+    if any(x != u and y != v and not (free[y, u] and free[v, x]) for (x, y), (u, v) in zip(line, line[1:])):
+        return False
+    return cost is None or most is None or all(cost[y, x] <= most for x, y in line)
 
 
 def shortest_path(free: np.ndarray, start: tuple[int, int], goal: tuple[int, int], cost: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -146,14 +155,14 @@ def shortest_path(free: np.ndarray, start: tuple[int, int], goal: tuple[int, int
     return []
 
 
-def pull_string(free: np.ndarray, path: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A path without the nodes that can be seen past: from each kept node on to the farthest one in sight."""
+def pull_string(free: np.ndarray, path: list[tuple[int, int]], cost: np.ndarray | None = None, most: float | None = None) -> list[tuple[int, int]]:
+    """A path without the nodes that can be seen past: from each kept node on to the farthest one in sight, under the same guards as ``in_sight``."""
     if len(path) < 3:
         return path
     out, i = [path[0]], 0
     while i < len(path) - 1:
         j = len(path) - 1
-        while j > i + 1 and not in_sight(free, path[i], path[j]):
+        while j > i + 1 and not in_sight(free, path[i], path[j], cost, most):
             j -= 1
         out.append(path[j])
         i = j
@@ -248,3 +257,73 @@ def ground_plane(points: np.ndarray, tolerance: float, rounds: int = 64, seed: i
         if k > most:
             best, most = np.array([*n, -(p[0] @ n)]), k
     return best, most
+
+
+def compress_chains(edges: list[tuple[object, object]]) -> list[tuple[object, object, int]]:
+    """(from, to, steps) of a graph whose nodes with exactly two neighbours are passed over; a ring of such nodes is kept at its least node.
+
+    Undirected; repeated edges and loops count once. The result is sorted.
+    """
+    near: dict[object, set] = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    ends = {n for n, k in near.items() if len(k) != 2}
+    seen: set[tuple[object, object]] = set()
+    out = []
+
+    def walk(start: object, step: object) -> tuple[object, int]:
+        last, here, n = start, step, 1
+        seen.add((start, step))
+        while here not in ends and here != start:
+            last, here = here, next(k for k in near[here] if k != last)
+            seen.add((last, here))
+            n += 1
+        seen.add((here, last))
+        return here, n
+
+    for a in sorted(ends):
+        for b in sorted(near[a]):
+            if (a, b) not in seen:
+                end, n = walk(a, b)
+                out.append((min(a, end), max(a, end), n))
+    for a in sorted(set(near) - ends):  # rings
+        b = min(near[a])
+        if not any((a, k) in seen or (k, a) in seen for k in near[a]):
+            out.append((a, a, walk(a, b)[1]))
+    return sorted(out)
+
+
+def place_rectangles(sizes: list[tuple[float, float]], room: tuple[float, float], gap: float, seed: int, tries: int = 200) -> list[tuple[float, float] | None]:
+    """A seeded layout: each rectangle (width, depth), the largest first, at the first random place within the room where it keeps ``gap`` to all before it; None where ``tries`` places don't do."""
+    rng = np.random.default_rng(seed)
+    out: list[tuple[float, float] | None] = [None] * len(sizes)
+    put: list[tuple[float, float, float, float]] = []
+    for i in sorted(range(len(sizes)), key=lambda k: (-sizes[k][0] * sizes[k][1], k)):
+        w, h = sizes[i]
+        for _ in range(tries):
+            x, y = rng.uniform(0, 1, 2) * (np.array(room) - (w, h))
+            if x < 0 or y < 0:
+                break
+            if all(x >= a + c + gap or a >= x + w + gap or y >= b + e + gap or b >= y + h + gap for a, b, c, e in put):
+                put.append((x, y, w, h))
+                out[i] = (float(x), float(y))
+                break
+    return out
+
+
+def assign_shapes(wanted: list[set], have: list[object]) -> list[object] | None:
+    """An instance of its own for each wanted shape, which names the instances that it accepts; the first assignment in order, None if there is none. Recursive search over the few shapes of a scene."""
+
+    def search(i: int, used: frozenset) -> list[object] | None:
+        if i == len(wanted):
+            return []
+        for h in have:
+            if h in wanted[i] and h not in used:
+                rest = search(i + 1, used | {h})
+                if rest is not None:
+                    return [h, *rest]
+        return None
+
+    return search(0, frozenset())

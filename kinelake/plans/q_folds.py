@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import geom as g
 from kinelake.operators import folds, grids
 from kinelake.operators import timeseries as ts
-from kinelake.plans.q_geometry import base
+from kinelake.plans.q_geometry import BASE, base
 from kinelake.plans.registry import Registry, r6
 from kinelake.session import scratch_path, table
 from kinelake.streaming import live
@@ -24,7 +24,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d)
 
 
-@R.query()
+@R.query(BASE + "SELECT user_id, min(event_id) FILTER (ax / 40 < 0.1 AND az - z1 > 0.001) AS grasped_at FROM (SELECT *, lag(az) OVER (PARTITION BY user_id ORDER BY event_id) AS z1 FROM q) GROUP BY 1")
 def wn08_pf14_grasp(spark: SparkSession, d: str) -> DataFrame:
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("event_id")
@@ -71,28 +71,81 @@ def ag53_ndtw(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_group(runs(spark, d).select("user_id", "event_id", "ax", "ay"), ["user_id"], fold, "user_id long, ndtw double")
 
 
-def room(seed: int) -> np.ndarray:
-    """A map of 24 x 24 free cells with walls, made from its number."""
-    free = np.ones((24, 24), bool)
-    free[8, : 18 + seed % 5] = False
-    free[16, 4 + seed % 4 :] = False
-    free[2:5, 10 + seed % 6] = False
+RESOLUTION = 24
+
+
+def occupied(p: pd.DataFrame) -> np.ndarray:
+    """A robot's map: cells in which it has stood are walls, on a grid over the range of the map's own points."""
+    free = np.ones((RESOLUTION, RESOLUTION), bool)
+    x, y = p["ax"].to_numpy(float), p["ay"].to_numpy(float)
+    cell = lambda v: np.clip(((v - v.min()) / max(v.max() - v.min(), 1e-9) * (RESOLUTION - 1)).astype(int), 0, RESOLUTION - 1)
+    free[cell(y), cell(x)] = False
     return free
 
 
 @R.query()
 def gr04_gr07_gr12_gr13_plans(spark: SparkSession, d: str) -> DataFrame:
-    """For each supplier's map: path over safety cost, pulled tight, as actions; the start is moved to the nearest free cell."""
+    """On each user's map, whose walls are the cells of the user's points: path over safety cost, pulled tight without cutting corners or costs, as actions; start and goal are moved to the nearest free cell."""
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        free = room(int(p["s_nationkey"].iloc[0]))
-        start = folds.nearest_free(free, (int(p["s_suppkey"].iloc[0]) % 24, 8))
-        path = folds.shortest_path(free, start, (20, 22), folds.safety_cost(free, 3))
-        tight = folds.pull_string(free, path)
+        free = occupied(p.sort_values("event_id"))
+        cost = folds.safety_cost(free, 3)
+        start, goal = folds.nearest_free(free, (0, 0)), folds.nearest_free(free, (RESOLUTION - 1, RESOLUTION - 1))
+        path = folds.shortest_path(free, start, goal, cost) if start and goal else []
+        tight = folds.pull_string(free, path, cost, 1.0)
         acts = folds.follow_actions(np.array(tight, float) * 0.25) if tight else []
-        return pd.DataFrame({"n_cells": [len(path)], "n_nodes": [len(tight)], "n_actions": [len(acts)]})
+        return pd.DataFrame({"n_free": [int(free.sum())], "n_cells": [len(path)], "n_nodes": [len(tight)], "n_actions": [len(acts)]})
+
+    return folds.per_group(runs(spark, d).select("user_id", "event_id", "ax", "ay"), ["user_id"], fold, "user_id long, n_free int, n_cells int, n_nodes int, n_actions int")
+
+
+@R.query()
+def gr05_gr06_sight(spark: SparkSession, d: str) -> DataFrame:
+    """Line of sight between the corners of each user's map, plain, with blocked corners, and with a limit of cost."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        free = occupied(p)
+        cost, a, b = folds.safety_cost(free, 3), (0, RESOLUTION // 2), (RESOLUTION - 1, RESOLUTION // 2 + 5)
+        return pd.DataFrame({"clear": [all(free[y, x] for x, y in folds.line_cells(a, b))], "in_sight": [folds.in_sight(free, a, b)], "cheap": [folds.in_sight(free, a, b, cost, 0.5)]})
+
+    return folds.per_group(runs(spark, d).select("user_id", "ax", "ay"), ["user_id"], fold, "user_id long, clear boolean, in_sight boolean, cheap boolean")
+
+
+@R.query()
+def gr03_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of each scene record with its chains compressed (a record's graph is small)."""
+    from kinelake.operators import nested
+
+    links = nested.scene_tables(table(spark, d, "scene_records"), wide=False)["links"].select("scene_uid", "source", "target")
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(folds.compress_chains(list(zip(p["source"], p["target"]))), columns=["source", "target", "steps"])
 
-    return folds.per_group(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_suppkey"], fold, "s_suppkey long, n_cells int, n_nodes int, n_actions int")
+    return folds.per_group(links, ["scene_uid"], fold, "scene_uid long, source string, target string, steps int")
+
+
+@R.query()
+def gr15_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded layout of each nation's suppliers as rectangles in a room (a scene's few objects)."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("s_suppkey")
+        spots = folds.place_rectangles([(0.5 + k % 3 / 4, 0.4 + k % 5 / 5) for k in p["s_suppkey"]], (6.0, 6.0), 0.05, int(p["s_suppkey"].iloc[0]))
+        return pd.DataFrame({"s_suppkey": p["s_suppkey"].to_numpy(), "x": [None if s is None else round(s[0], 6) for s in spots], "y": [None if s is None else round(s[1], 6) for s in spots]})
+
+    return folds.per_group(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], fold, "s_nationkey int, s_suppkey long, x double, y double")
+
+
+@R.query()
+def gr16_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Four shapes of each region, each accepting the nations of one remainder, get instances of their own."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        have = sorted(p["n_nationkey"])
+        got = folds.assign_shapes([{k for k in have if k % 3 != i % 3} for i in range(4)], have)
+        return pd.DataFrame({"shape_no": range(4), "n_nationkey": got if got else [None] * 4})
+
+    return folds.per_group(table(spark, d, "nation").select("n_regionkey", "n_nationkey"), ["n_regionkey"], fold, "n_regionkey int, shape_no int, n_nationkey int")
 
 
 @R.query()
@@ -133,7 +186,12 @@ def gr08_components(spark: SparkSession, d: str) -> DataFrame:
     return grids.components(p, s.select(F.col("s_suppkey").alias("node")))
 
 
-@R.query()
+@R.query(
+    """WITH RECURSIVE p AS (SELECT a.s_suppkey AS k, b.s_suppkey AS o FROM supplier a JOIN supplier b ON sqrt(pow((a.s_acctbal - b.s_acctbal) / 100, 2) + pow(a.s_nationkey - b.s_nationkey, 2)) <= 6),
+    c AS (SELECT k FROM p GROUP BY 1 HAVING count(*) >= 4), l AS (SELECT p.k, p.o FROM p JOIN c ON c.k = p.k JOIN c d ON d.k = p.o),
+    r(k, seen) AS (SELECT k, k FROM c UNION SELECT r.k, l.o FROM r JOIN l ON r.seen = l.k), m AS (SELECT k, min(seen) AS component FROM r GROUP BY 1)
+    SELECT s_suppkey, coalesce(any_value(own.component), min(near.component)) AS cluster FROM supplier LEFT JOIN m own ON own.k = s_suppkey LEFT JOIN p ON p.k = s_suppkey LEFT JOIN m near ON near.k = p.o GROUP BY 1"""
+)
 def gr09_density_clusters(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     return grids.density_clusters(s, "s_suppkey", ["x", "y"], 6.0, 4)

@@ -240,7 +240,7 @@ def ma25_kl_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r6(k).alias("kl"), r6(F.abs(k)).alias("abs_kl"), F.round(0.5 * k * k, 7).alias("mse"))
 
 
-@R.query()
+@R.query("SELECT user_id, CAST(ts AS DATE) AS day, round(0.2 * product(1 + greatest(least(value / 30 - 1, 0.2), -0.2) * 0.1), 6) + 0.0 AS coefficient FROM events GROUP BY 1, 2")
 def ma26_adaptive_kl(spark: SparkSession, d: str) -> DataFrame:
     """A coefficient that is multiplied step by step, over each user-day."""
     x = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))

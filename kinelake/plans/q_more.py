@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import geom as g
 from kinelake.operators import folds
-from kinelake.plans.q_geometry import base
+from kinelake.plans.q_geometry import BASE, base
 from kinelake.plans.registry import Registry, r6
 from kinelake.session import table
 from kinelake.sources import sinks
@@ -60,7 +60,11 @@ def jn18_global_labels(spark: SparkSession, d: str) -> DataFrame:
     return x.join(dim, "word").select("file_id", "global_id")
 
 
-@R.query()
+@R.query(
+    """WITH e AS (SELECT episode_id, ts_seconds, joint_name, arg_min_null(joint_position, reading_id) AS p FROM joint_readings
+      WHERE joint_name IN ('grip_l_joint', 'grip_r_joint', 'waist_lift_joint') AND ts_seconds IS NOT NULL AND episode_id IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT episode_id, ts_seconds, [max(p) FILTER (joint_name = 'grip_l_joint'), max(p) FILTER (joint_name = 'grip_r_joint'), max(p) FILTER (joint_name = 'waist_lift_joint')] AS ordered FROM e GROUP BY 1, 2"""
+)
 def jn19_reorder(spark: SparkSession, d: str) -> DataFrame:
     """Joint positions of each message second in a fixed order of names; absent ones are null and keep their place."""
     order = ["grip_l_joint", "grip_r_joint", "waist_lift_joint"]
@@ -103,12 +107,17 @@ def sr06_human_like(spark: SparkSession, d: str) -> DataFrame:
     return x.orderBy(F.desc("s"), "p_partkey").limit(15).select("p_partkey", r6("s").alias("score"))
 
 
-@R.query()
+@R.query(
+    BASE
+    + """, c AS (SELECT event_id, cos(radians(v)) AS c, sin(radians(v)) AS s, ax, ay FROM q),
+    l AS (SELECT event_id, list_sort(list_transform([[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5]], lambda o: {'y': round(4 * o[1] * s + 2 * o[2] * c + ay, 6) + 0.0, 'x': round(4 * o[1] * c - 2 * o[2] * s + ax, 6) + 0.0})) AS s FROM c)
+    SELECT event_id, list_sort([[s[1].x, s[1].y], [s[2].x, s[2].y]]) || list_sort([[s[3].x, s[3].y], [s[4].x, s[4].y]]) AS corners FROM l"""
+)
 def sr14_corner_order(spark: SparkSession, d: str) -> DataFrame:
     """Corners of each event's rectangle: the two lower ones by x, then the two upper ones by x."""
-    corners = F.array(*[F.struct(F.round(y, 6).alias("y"), F.round(x, 6).alias("x")) for x, y in g.rectangle_corners(F.col("ax"), F.col("ay"), 4, 2, F.col("v"))])
+    corners = F.array(*[F.struct(r6(y).alias("y"), r6(x).alias("x")) for x, y in g.rectangle_corners(F.col("ax"), F.col("ay"), 4, 2, F.col("v"))])
     s = F.array_sort(corners)
-    by_x = lambda part: F.array_sort(F.transform(part, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))))
+    by_x = lambda part: F.array_sort(F.transform(part, lambda c: F.array(c["x"], c["y"])))
     return base(spark, d).select("event_id", F.concat(by_x(F.slice(s, 1, 2)), by_x(F.slice(s, 3, 2))).alias("corners"))
 
 
@@ -149,7 +158,11 @@ def ma28_noise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r6(F.col("value") + F.coalesce(noise, F.when(u(5) < 0.05, 100.0).otherwise(0.0))).alias("noisy"))
 
 
-@R.query()
+@R.query(
+    """WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS e FROM embeddings),
+    m AS (SELECT a.vec_id, avg(a.e) AS ma, avg(b.e) AS mb, var_pop(a.e) AS va, var_pop(b.e) AS vb, covar_pop(a.e, b.e) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id + 1 AND a.i = b.i GROUP BY 1)
+    SELECT vec_id, round((2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)), 6) + 0.0 AS ssim FROM m"""
+)
 def ma29_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Structural similarity of neighbouring embeddings, seen as small signals."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")

@@ -124,7 +124,13 @@ def ad13_ad14_target(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d).select("event_id", near.alias("at_target"), close.alias("approached"))
 
 
-@R.query()
+@R.query(
+    """WITH RECURSIVE e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type AS t, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
+    r(user_id, day, n, state, passed) AS (SELECT DISTINCT user_id, day, 0::BIGINT, 0, 0 FROM e UNION ALL
+      SELECT user_id, day, n, s, passed + (s = 3)::INT FROM (SELECT r.user_id, r.day, e.n, r.passed, CASE WHEN state = 0 AND t = 'click' THEN 1 WHEN state = 1 AND t = 'view' THEN 2 WHEN state = 2 AND t = 'purchase' THEN 3 WHEN t = 'error' THEN 0 WHEN state = 3 THEN 0 ELSE state END AS s
+        FROM r JOIN e ON r.user_id = e.user_id AND r.day = e.day AND e.n = r.n + 1))
+    SELECT user_id, day, arg_max(state, n) AS state, max(passed) AS passed FROM r GROUP BY 1, 2"""
+)
 def ad15_sm06_passing(spark: SparkSession, d: str) -> DataFrame:
     """A four-state machine over each user-day: idle, held left, both, handed over; counts the hand-overs."""
     x = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))

@@ -71,7 +71,11 @@ def ag06_overall(spark: SparkSession, d: str) -> DataFrame:
 WANTED = ["click", "view", "purchase"]
 
 
-@R.query()
+@R.query(
+    """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type AS t, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
+    a AS (SELECT *, min(n) FILTER (t = 'click') OVER w AS p FROM e WINDOW w AS (PARTITION BY user_id, day)), b AS (SELECT *, min(n) FILTER (t = 'view' AND n > p) OVER w AS p2 FROM a WINDOW w AS (PARTITION BY user_id, day))
+    SELECT user_id, day, any_value(p) IS NOT NULL AS found_click, any_value(p2) IS NOT NULL AS found_view, coalesce(bool_or(t = 'purchase' AND n > p2), false) AS found_purchase FROM b GROUP BY 1, 2"""
+)
 def ag07_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """Which of the wanted steps each user's events hold in order (one array a user-day, so arrays stay small)."""
     x = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
@@ -79,7 +83,9 @@ def ag07_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "day", *[F.element_at(found, i + 1).alias(f"found_{w}") for i, w in enumerate(WANTED)])
 
 
-@R.query()
+@R.query(
+    """SELECT user_id, CAST(ts AS DATE) AS day, (arg_max(value, (ts, event_id)) > 20)::INT AS e2e, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS mean_score FROM events GROUP BY 1, 2"""
+)
 def ag08_summary(spark: SparkSession, d: str) -> DataFrame:
     """End-to-end and mean score of each user-day."""
     x = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))

@@ -211,7 +211,10 @@ def wn19_joint_cost(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("user_id").agg(F.round(2.0 * F.sum(F.abs("dv")) + 0.5 * F.sum(F.abs("dk")), 4).alias("cost"))
 
 
-@R.query()
+@R.query(
+    """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, value AS x, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS n FROM events)
+    SELECT a.user_id, a.day, a.n::INT AS step_no, round(sum(CASE WHEN b.n = 0 THEN pow(0.7, a.n) ELSE 0.3 * pow(0.7, a.n - b.n) END * b.x), 6) + 0.0 AS smoothed FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND b.n <= a.n GROUP BY ALL"""
+)
 def wn20_21_smoothing(spark: SparkSession, d: str) -> DataFrame:
     """WN20, WN21: (1 - a) s + a x over each user-day, started by its first value."""
     x = events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
@@ -219,7 +222,10 @@ def wn20_21_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "day", F.posexplode(s).alias("step_no", "smoothed")).withColumn("smoothed", r6("smoothed"))
 
 
-@R.query()
+@R.query(
+    """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, value - 30 AS d, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS n FROM events)
+    SELECT a.user_id, a.day, a.n::INT AS step_no, round(sum(b.d * pow(0.9, b.n - a.n)), 6) + 0.0 AS advantage FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND b.n >= a.n GROUP BY ALL"""
+)
 def wn22_advantages(spark: SparkSession, d: str) -> DataFrame:
     """Reverse scan: A_t = delta_t + 0.9 A_{t+1}, with delta the value less 30, over each user-day."""
     x = events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")), asc=False).alias("e"))

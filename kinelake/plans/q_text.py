@@ -20,7 +20,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null")
 
 
-@R.query()
+@R.query(
+    '''WITH t AS (SELECT doc_id, translate(text, chr(10) || chr(9), '  ') AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, replace(replace(regexp_replace(regexp_replace(t, '(\\d)\\.(\\d)', '\\1' || chr(57344) || '\\2', 'g'), '(\\d)\\.(\\d)', '\\1' || chr(57344) || '\\2', 'g'), '.', ''), chr(57344), '.') AS t FROM t)
+    SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(t, '[;/\\[\\]"{}()=+\\\\_><@`,?!-]', ' ', 'g'), '^[''"(]+|['')"]+$', '', 'g'), ' +', ' ', 'g'), ' ')) AS answer FROM p'''
+)
 def st01_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Normalised answers (lookbehind, so no SQL twin)."""
     return docs(spark, d).select("doc_id", tx.normalize_answer(F.col("text")).alias("answer"))
@@ -109,7 +113,12 @@ def st16_speakers(spark: SparkSession, d: str) -> DataFrame:
     return g.select("scene_id", F.array_join(F.transform("a", lambda s: s["conversation"]), "").alias("conversation"))
 
 
-@R.query()
+@R.query(
+    """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type AS t, CASE WHEN event_type IN ('click', 'view') THEN 'human' ELSE 'gpt' END AS r, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT *, min(n) FILTER (r = 'human') OVER (PARTITION BY user_id, day) AS first FROM e), k AS (SELECT *, CASE WHEN (n - first) % 2 = 0 THEN ' ' ELSE '</s>' END AS sep FROM f)
+    SELECT user_id, day, 'A chat.###' || coalesce(string_agg(r || ': ' || t || '###', '' ORDER BY n) FILTER (n >= first), '') AS single, 'A chat. ' || coalesce(string_agg(r || ': ' || t || sep, '' ORDER BY n) FILTER (n >= first), '') AS two,
+    'A chat.' || coalesce(string_agg(t || sep, '' ORDER BY n) FILTER (n >= first), '') AS plain FROM k GROUP BY 1, 2"""
+)
 def st15_st17_st30_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Conversation prompts of each user-day in three styles, leading non-human turns dropped."""
     role = F.when(F.col("event_type").isin("click", "view"), "human").otherwise("gpt")

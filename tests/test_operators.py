@@ -291,3 +291,25 @@ def test_sinks(spark, tmp_path):
     assert sinks.merge_shards([df, df.drop("v")]).where("v is null").count() == 3
     assert sinks.next_free_number(spark.createDataFrame([("r_07.json",), ("q",)], "f string"), "f", "r") == 8
     assert math.isclose(sinks.newest_rows(df, ["k"], ["n"], 1).count(), 2)
+
+
+def test_sight_keeps_corners_and_costs():
+    free = np.ones((5, 5), bool)
+    free[1, 2] = free[2, 1] = False
+    assert not folds.in_sight(free, (1, 1), (2, 2))  # between two blocked corners
+    free[2, 1] = True
+    assert not folds.in_sight(free, (1, 1), (2, 2)) and folds.in_sight(free, (0, 3), (4, 3)) and not folds.in_sight(free, (0, 0), (9, 0))
+    cost = np.zeros((5, 5))
+    cost[3, 2] = 0.8
+    assert folds.in_sight(free, (0, 3), (4, 3), cost, 0.9) and not folds.in_sight(free, (0, 3), (4, 3), cost, 0.5)
+
+
+def test_chains_layouts_assignments():
+    assert folds.compress_chains([("a", "b"), ("b", "c"), ("c", "d"), ("c", "e"), ("b", "a")]) == [("a", "c", 2), ("c", "d", 1), ("c", "e", 1)]
+    assert folds.compress_chains([("x", "y"), ("y", "z"), ("z", "x")]) == [("x", "x", 3)] and folds.compress_chains([]) == []
+    assert folds.compress_chains([("h", "a"), ("a", "b"), ("b", "h"), ("h", "q")]) == [("h", "h", 3), ("h", "q", 1)]
+    spots = folds.place_rectangles([(1, 1), (2, 1), (9, 9)], (4, 4), 0.1, 3)
+    assert spots[2] is None and spots == folds.place_rectangles([(1, 1), (2, 1), (9, 9)], (4, 4), 0.1, 3)
+    (x, y), (u, v) = spots[:2]
+    assert x >= u + 2.1 or u >= x + 1.1 or y >= v + 1.1 or v >= y + 1.1
+    assert folds.assign_shapes([{1, 2}, {1}], [1, 2]) == [2, 1] and folds.assign_shapes([{1}, {1}], [1, 2]) is None and folds.assign_shapes([], []) == []
