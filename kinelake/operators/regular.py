@@ -6,7 +6,9 @@ are marked ``filled`` and get a value by iterative singular-spectrum
 imputation: the bucketed series is embedded as a Hankel trajectory matrix, the
 matrix is truncated to its leading singular vectors, diagonal averages replace
 the missing entries, and this repeats until they settle. Rows with a value from
-a series that hasn't settled after ``MOST_ROUNDS`` are marked ``unsettled``.
+a series that doesn't settle are marked ``unsettled``. Cells that stick out of
+their neighbourhood (spikes) keep their value, but the imputation of other cells
+doesn't learn from them.
 
 A series is processed in blocks of 1000 cells with a halo of its neighbours'
 readings, so no task holds a whole series; blocks of one length are imputed
@@ -32,11 +34,13 @@ from pyspark.sql import functions as F
 
 from kinelake.operators.blocks import instant_ns, pack_blocks, with_halo
 from kinelake.operators.flat import Flat, breaks
+from kinelake.operators.order_stats import percentiles
+from kinelake.session import materialize
 
 BLOCK_CELLS = 1000
 HALO = 24
 WINDOW, RANK, TOLERANCE = 10, 3, 1e-3
-MEMORY, REACH, STALE = 6, 0.5, 1000
+MEMORY, REACH, STALE, STRAY = 6, 0.5, 1000, 10
 #: A safety bound, far above what series need (see the README's figures).
 MOST_ROUNDS = 50_000
 
@@ -168,12 +172,34 @@ def first_guess(values: np.ndarray, run: np.ndarray) -> np.ndarray:
     return out
 
 
+def _medians(values: np.ndarray, run: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The median of each run's values (upper one of two); NaNs come last in a run."""
+    order = np.lexsort((values, run))
+    return values[order][np.cumsum(sizes) - sizes + sizes // 2]
+
+
+def strays(values: np.ndarray, run: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Cells farther than ``STRAY`` times their run's usual change from the median of the five around them."""
+    around = np.full((5, len(values)), np.nan)
+    for i, shift in enumerate((-2, -1, 0, 1, 2)):
+        moved = np.roll(values, shift)
+        around[i] = np.where(np.roll(run, shift) == run, moved, values)
+    usual = _medians(np.abs(np.diff(values, prepend=values[:1])), run, sizes)
+    with np.errstate(invalid="ignore"):
+        return np.abs(values - np.sort(around, axis=0)[2]) > STRAY * np.repeat(usual, sizes) + 1e-12
+
+
 def _impute(values: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The dense runs of ``values`` with their NaNs imputed, runs of equal length together; which of the imputed values didn't settle."""
-    out = first_guess(values, run)
-    missing, unsettled = np.isnan(values), np.zeros(len(values), bool)
+    """The dense runs of ``values`` with their NaNs imputed, runs of like length together; which of the imputed values didn't settle.
+
+    Stray cells keep their values but take no part in the imputation of others.
+    """
     starts = np.flatnonzero(breaks(run))
     sizes = np.diff(np.append(starts, len(run)))
+    stray = strays(first_guess(values, run), run, sizes) & ~np.isnan(values) if len(values) else np.zeros(0, bool)
+    clean = np.where(stray, np.nan, values)
+    out = first_guess(clean, run)
+    missing, unsettled = np.isnan(clean), np.zeros(len(values), bool)
     gaps = np.add.reduceat(missing, starts) if len(starts) else np.zeros(0)
     usable = (gaps > 0) & ~np.isnan(out[starts]) & (sizes >= 4) if len(starts) else np.zeros(0, bool)
     # runs of like length are padded to one; short ones, whose window depends on their length, aren't
@@ -187,6 +213,7 @@ def _impute(values: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray
             got, settled = ssa_settle(np.where(inside, out[index], np.nan), gap)
             out[index[inside]] = got[inside]
             unsettled[index[inside]] = (gap & ~settled[:, None])[inside]
+    out[stray], unsettled[stray] = values[stray], False
     return out, unsettled
 
 
@@ -197,7 +224,7 @@ def _means(v: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.add.reduceat(np.where(good, v, 0.0), start) / np.maximum(n, 1), np.nan)
 
 
-def _regularize(batches: Iterator[pa.RecordBatch], keys: Sequence[str], main: str, second: str, cell: int, max_gap: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _regularize(batches: Iterator[pa.RecordBatch], keys: Sequence[str], main: str, second: str, cell: int, max_gap: int, schema: pa.Schema, linear: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -230,12 +257,14 @@ def _regularize(batches: Iterator[pa.RecordBatch], keys: Sequence[str], main: st
         # a block gives its own cells and the empty ones just before them
         own = role[owner] == 1
         out = {"row": seg[owner][own], "cell": cell_no[own], "a": value[own], "b": value2[own], "n": readings[own], "filled": (readings == 0)[own], "b_filled": np.isnan(dense2)[own], "how": np.where(np.isnan(dense), np.where(np.isnan(value), "marked", "ssa"), "observed")[own], "unsettled": (open1 | open2)[own]}
+        if linear:
+            out["linear"] = first_guess(dense, run)[own]
         yield from _emit(batch, keys, out, schema, cell)
         for k in np.flatnonzero(long & (role == 1)):  # long silences: marked only
             for lo in range(int(cells[k - 1]) + 1, int(cells[k]), 100_000):
                 c = np.arange(lo, min(lo + 100_000, int(cells[k])))
                 m = len(c)
-                yield from _emit(batch, keys, {"row": np.full(m, seg[k]), "cell": c, "a": np.full(m, np.nan), "b": np.full(m, np.nan), "n": np.zeros(m, np.int64), "filled": np.ones(m, bool), "b_filled": np.ones(m, bool), "how": np.full(m, "marked"), "unsettled": np.zeros(m, bool)}, schema, cell)
+                yield from _emit(batch, keys, {"row": np.full(m, seg[k]), "cell": c, "a": np.full(m, np.nan), "b": np.full(m, np.nan), "n": np.zeros(m, np.int64), "filled": np.ones(m, bool), "b_filled": np.ones(m, bool), "how": np.full(m, "marked"), "unsettled": np.zeros(m, bool)} | ({"linear": np.full(m, np.nan)} if linear else {}), schema, cell)
 
 
 def _emit(batch: pa.RecordBatch, keys: Sequence[str], out: dict, schema: pa.Schema, cell: int) -> Iterator[pa.RecordBatch]:
@@ -254,6 +283,8 @@ def _emit(batch: pa.RecordBatch, keys: Sequence[str], out: dict, schema: pa.Sche
             pa.array(part["how"].astype(object), pa.string()),
             pa.array(part["unsettled"]),
         ]
+        if "linear" in part:
+            columns.append(pa.array(part["linear"], from_pandas=True))
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -264,6 +295,7 @@ def regular_series(
     second: str = "joint_velocity",
     cell_ms: int = 100,
     max_gap: int = 100,
+    linear: bool = False,
 ) -> DataFrame:
     """(keys, cell_ms, main, second, n_readings, filled, second_filled, method, unsettled) of every cell of every series.
 
@@ -271,17 +303,40 @@ def regular_series(
     the cell width. filled: no reading counts in the cell. method is observed,
     ssa or marked (without a value: in a silence longer than ``max_gap`` cells,
     or with no finite reading near). unsettled: a filled value of the row comes
-    from an imputation that reached its bound of rounds.
+    from an imputation that didn't settle. ``linear`` adds what linear
+    interpolation gives for the main field.
     """
     cell = cell_ms * 1_000_000
     counts = F.col(main).isNotNull() & ~F.isnan(main)
     src = readings.where(counts).select(*keys, instant_ns().alias("at"), F.col(main).cast("double").alias("v_main"), F.col(second).cast("double").alias("v_second"))
     blocks = with_halo(pack_blocks(src, keys, "at", ["v_main", "v_second"], BLOCK_CELLS * cell), keys, HALO, ["v_main", "v_second"])
     kinds = dict(src.dtypes)
-    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", cell_ms bigint, `{main}` double, `{second}` double, n_readings bigint, filled boolean, `{second}_filled` boolean, method string, unsettled boolean"
+    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", cell_ms bigint, `{main}` double, `{second}` double, n_readings bigint, filled boolean, `{second}_filled` boolean, method string, unsettled boolean" + (f", `{main}_linear` double" if linear else "")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
     names = list(keys)
-    return blocks.mapInArrow(lambda it: _regularize(it, names, "v_main", "v_second", cell, max_gap, schema), ddl)
+    return blocks.mapInArrow(lambda it: _regularize(it, names, "v_main", "v_second", cell, max_gap, schema, linear), ddl)
+
+
+def holdout_errors(readings: DataFrame, part: int = 10, **options) -> DataFrame:
+    """(joint_name, n_cells, ssa_p50, ssa_p90, linear_p50, linear_p90): how far imputed values lie from cells that were held back.
+
+    A cell of a series is held back, with all its readings, by a hash of its
+    series and number, one in ``part``. The errors are those of the main field;
+    linear interpolation is the yardstick.
+    """
+    cell_ms = options.get("cell_ms", 100)
+    held = lambda cell: F.pmod(F.xxhash64("episode_id", "joint_name", cell), F.lit(part)) == 0
+    of_reading = F.expr(f"(ts_seconds * 1000 + ts_nanos div 1000000) div {cell_ms} * {cell_ms}")
+    true = regular_series(readings, **options).where("method = 'observed'").where(held(F.col("cell_ms"))).select("episode_id", "joint_name", "cell_ms", F.col("joint_position").alias("was"))
+    guess = regular_series(readings.where(~held(of_reading)), linear=True, **options).where("method = 'ssa'").where(held(F.col("cell_ms")))
+    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in ("episode_id", "joint_name", "cell_ms")]
+    both = true.alias("t").join(guess.alias("g"), on).select("t.joint_name", F.abs(F.col("joint_position") - F.col("was")).alias("ssa"), F.abs(F.col("joint_position_linear") - F.col("was")).alias("linear"))
+    both = materialize(both)
+    n = both.groupBy("joint_name").agg(F.count("*").alias("n_cells"))
+    for c in ("ssa", "linear"):
+        p = percentiles(both, ["joint_name"], c, [0.5, 0.9]).select("joint_name", F.round(F.col("p")[0], 6).alias(f"{c}_p50"), F.round(F.col("p")[1], 6).alias(f"{c}_p90"))
+        n = n.join(p, "joint_name")
+    return n

@@ -60,6 +60,11 @@ def p3_series(spark: SparkSession, d: str) -> DataFrame:
     return regular.regular_series(table(spark, d, "joint_readings"))
 
 
+def p3_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of imputed positions at cells held back, beside those of linear interpolation."""
+    return regular.holdout_errors(table(spark, d, "joint_readings"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Distinct parent links of the scene records."""
     return nested.scene_links(table(spark, d, "scene_records"))
@@ -91,7 +96,7 @@ def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_manifest, p1_records, p1_many_files, p2_found, p2_openings, p3_found, p3_series, p4_found, p4_objects, p4_positions, p5_found, p5_kinds)
+    f.__name__: f for f in (p1_found, p1_manifest, p1_records, p1_many_files, p2_found, p2_openings, p3_found, p3_series, p3_holdout, p4_found, p4_objects, p4_positions, p5_found, p5_kinds)
 }
 
 #: P1, P2 and P4 need path, unit and JSON grammars, P5 the tests of its model; those are held against brute force in tests.

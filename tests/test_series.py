@@ -183,3 +183,17 @@ def test_halo_reaches_the_nearest_blocks_by_field(spark):
         want = lambda side, pick: sorted({pick(s) for s in (side, [a for a in side if a % 2]) if s})
         assert [x["at"] for x in r["before"]] == want(prev, max)
         assert [x["at"] for x in r["after"]] == want(nxt, min)
+
+
+def test_imputed_cells_are_near_those_held_back(spark):
+    rows = course(900, noise=0.01) + course(900, ep="f", start=1000, seed=5, noise=0.01, joint="k")
+    put(rows, 400, 50.0)  # a spike near which nothing is learnt
+    e = {r["joint_name"]: r for r in regular.holdout_errors(spark.createDataFrame(rows, R)).collect()}
+    assert set(e) == {"j", "k"} and all(50 < r["n_cells"] < 150 and r["ssa_p50"] < 0.02 and r["ssa_p90"] < 1.3 * r["linear_p90"] for r in e.values())
+
+
+def test_a_stray_cell_keeps_its_value():
+    x = np.sin(np.arange(200) / 9)
+    x[60], x[63] = 40, np.nan
+    out, unsettled = regular._impute(x, np.zeros(200, int))
+    assert out[60] == 40 and abs(out[63] - np.sin(63 / 9)) < 0.05 and not unsettled.any()
