@@ -1,8 +1,10 @@
 """As-of joins, fills, runs, segments and sessions over ordered rows.
 
-All are window expressions partitioned by the series' key, one shuffle each;
-several in a row on the same key share it. The order always ends in a unique
-column, so results don't depend on the partitioning.
+``as_of``, ``run_length``, ``segments`` and ``sessions`` cut a key's rows into
+buckets and carry over what they need (see ``prefix``), so a key that holds a
+large share of all rows is spread. The functions that give a Column are window
+expressions partitioned by the key, for keys of bounded length. The order always
+ends in a unique column, so results don't depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kinelake.operators import prefix
+
 ALL_BEFORE = (Window.unboundedPreceding, Window.currentRow)
 ALL_AFTER = (Window.currentRow, Window.unboundedFollowing)
 
@@ -34,20 +38,17 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
     a = left.withColumn("__side", F.lit(1)).withColumn("__right", F.lit(None).cast(kind)).withColumn("__left", F.lit(True))
     b = right.select(*keys, at, picked.alias("__right")).withColumn("__left", F.lit(False))
     both = a.drop("__side").unionByName(b, allowMissingColumns=True)
-    # the right side comes first among equal instants when looking back, last when looking ahead
-    back = Window.partitionBy(*keys).orderBy(F.col(at), F.col("__left").cast("int")).rowsBetween(*ALL_BEFORE)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(at), F.col("__left").cast("int").desc()).rowsBetween(*ALL_AFTER)
-    lo, hi = F.last("__right", ignorenulls=True).over(back), F.first("__right", ignorenulls=True).over(ahead)
+    both = prefix.nearest_sides(both, "__right", "__left", keys, at)
+    lo, hi = F.col("__lo"), F.col("__hi")
     if direction == "backward":
-        both = both.withColumn("__hit", lo)
+        hit = lo
     elif direction == "forward":
-        both = both.withColumn("__hit", hi)
+        hit = hi
     else:
-        both = both.withColumns({"__lo": lo, "__hi": hi})
         gap_lo, gap_hi = F.col(at) - F.col("__lo.at"), F.col("__hi.at") - F.col(at)
-        both = both.withColumn("__hit", F.when(F.col("__hi").isNull() | (gap_lo <= gap_hi), F.col("__lo")).otherwise(F.col("__hi"))).drop("__lo", "__hi")
-    out = both.where("__left").select(*left.columns, *[F.col(f"__hit.{v}").alias(v) for v in values], F.col("__hit.at").alias("matched_at"))
-    return out
+        hit = F.when(hi.isNull() | (gap_lo <= gap_hi), lo).otherwise(hi)
+    out = both.where("__left").withColumn("__hit", hit)
+    return out.select(*left.columns, *[F.col(f"__hit.{v}").alias(v) for v in values], F.col("__hit.at").alias("matched_at"))
 
 
 def fill_next_then_last(value: str, keys: Sequence[str], by: Sequence[str]) -> Column:
@@ -62,11 +63,7 @@ def backfill(value: str, keys: Sequence[str], by: Sequence[str]) -> Column:
 
 def run_length(df: DataFrame, flag: Column, keys: Sequence[str], by: Sequence[str], name: str = "run") -> DataFrame:
     """Adds the number of consecutive true flags up to each row; 0 where the flag is false or null."""
-    w = order(keys, by).rowsBetween(*ALL_BEFORE)
-    one = F.when(flag, 1).otherwise(0)
-    df = df.withColumn("__flag", one).withColumn("__grp", F.sum(1 - F.col("__flag")).over(w))
-    inner = order([*keys, "__grp"], by).rowsBetween(*ALL_BEFORE)
-    return df.withColumn(name, F.sum("__flag").over(inner)).drop("__flag", "__grp")
+    return prefix.run_lengths(df, flag, keys, by, name)
 
 
 def cumulative_true(flag: Column, keys: Sequence[str], by: Sequence[str]) -> Column:
@@ -76,21 +73,13 @@ def cumulative_true(flag: Column, keys: Sequence[str], by: Sequence[str]) -> Col
 
 def segments(df: DataFrame, state: Sequence[str], keys: Sequence[str], by: Sequence[str], name: str = "segment") -> DataFrame:
     """Adds a segment number that grows where any of the state columns changes (nulls compare as equal)."""
-    w = order(keys, by)
-    first = F.row_number().over(w) == 1
-    changed = first
-    for s in state:
-        changed = changed | ~F.col(s).eqNullSafe(F.lag(s).over(w))
-    df = df.withColumn("__new", F.when(changed, 1).otherwise(0))
-    return df.withColumn(name, F.sum("__new").over(w.rowsBetween(*ALL_BEFORE))).drop("__new")
+    return prefix.numbered(df, state, lambda p, c: ~p.eqNullSafe(c), 1, keys, by, name)
 
 
 def sessions(df: DataFrame, at: str, gap_seconds: float, keys: Sequence[str], tie: str, name: str = "session") -> DataFrame:
     """Adds a session number: a silence longer than the gap opens the next one."""
-    w = order(keys, [at, tie])
-    silent = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp")) > int(gap_seconds * 1_000_000)
-    df = df.withColumn("__new", F.when(F.coalesce(silent, F.lit(False)), 1).otherwise(0))
-    return df.withColumn(name, F.sum("__new").over(w.rowsBetween(*ALL_BEFORE))).drop("__new")
+    micros = lambda c: F.unix_micros(c[at].cast("timestamp"))
+    return prefix.numbered(df, [at], lambda p, c: micros(c) - micros(p) > int(gap_seconds * 1_000_000), 0, keys, [at, tie], name)
 
 
 def common_range(df: DataFrame, topic: str, at: str) -> DataFrame:
