@@ -1,7 +1,7 @@
 """Deeply nested scene records as related flat tables, by structural variant.
 
 The shape of a JSON value is classified bottom-up by a tree automaton, once a
-node: every leaf has a state by its type and form, every array a state by the
+node and only where something follows from it: every leaf has a state by its type and form, every array a state by the
 states of its elements, every object one by its field names and the states of
 its fields. A string that holds a list or a map, as JSON (in any number of
 layers) or as a Python literal, is a leaf with a child and takes the child's
@@ -91,8 +91,44 @@ class _Numbers:
         return [Node("number", v) for v in self.values[at]]
 
 
+class _Fields:
+    """The nodes of an object's fields; each is classified when it is first asked for, and then kept."""
+
+    __slots__ = ("values_", "nodes")
+
+    def __init__(self, values: dict) -> None:
+        self.values_, self.nodes = values, {}
+
+    def keys(self):
+        return self.values_.keys()
+
+    def __len__(self) -> int:
+        return len(self.values_)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.values_)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.values_
+
+    def __getitem__(self, name: str) -> Node:
+        node = self.nodes.get(name)
+        if node is None:
+            node = self.nodes[name] = classify(self.values_[name])
+        return node
+
+    def get(self, name: str, other: Node) -> Node:
+        return self[name] if name in self.values_ else other
+
+    def values(self) -> Iterator[Node]:
+        return (self[k] for k in self.values_)
+
+    def items(self) -> Iterator[tuple[str, Node]]:
+        return ((k, self[k]) for k in self.values_)
+
+
 def classify(value) -> Node:
-    """The node of a JSON value, with all nodes below it; each state is worked out once."""
+    """The node of a JSON value. A state follows from the states below it; each is worked out once, and only if something follows from it."""
     return CLASSIFY[type(value)](value)
 
 
@@ -138,8 +174,8 @@ def _list(values: list) -> Node:
 
 
 def _object(values: dict) -> Node:
-    kids = {k: classify(v) for k, v in values.items()}
-    names = kids.keys()
+    kids = _Fields(values)
+    names = values.keys()
     own = None if names.isdisjoint(ID_NAMES) else next((i for i in (_as_id(kids[n]) for n in ID_NAMES if n in kids) if i), None)
     if not names:
         state = "empty_object"
@@ -327,7 +363,7 @@ def link_ends(node: Node) -> tuple[str, str] | None:
 
 
 INWARD: dict[str, Rule] = {
-    "wrapper": lambda v: v.kids[0] if not isinstance(v.kids, dict) else v.kids["scene_info"] if "scene_info" in v.kids else next(iter(v.kids.values())),
+    "wrapper": lambda v: v.kids[0] if not isinstance(v.kids, _Fields) else v.kids["scene_info"] if "scene_info" in v.kids else next(iter(v.kids.values())),
 }
 
 
@@ -339,7 +375,7 @@ def scene_of(node: Node) -> Node | None:
 
 
 def _field(node: Node, name: str) -> Node:
-    return node.kids.get(name, NOTHING) if isinstance(node.kids, dict) else NOTHING
+    return node.kids.get(name, NOTHING) if isinstance(node.kids, _Fields) else NOTHING
 
 
 # Rows: (scene_uid, scene_id, kind, parent_id, node_id, depth, ordinal, variant, x, y, z, w, orientation, usd, semantic_name, full_description, keywords, directed, reason)
@@ -358,14 +394,17 @@ def record_rows(uid: int, scene_id: str | None, text: str | None, wide: bool = T
         yield base | {"kind": "unparsed", "variant": "none", "reason": "null" if text is None else "blank"}
         return
     try:
-        scene = scene_of(classify(json.loads(text)))
-    except (ValueError, RecursionError) as e:
+        yield from list(_scene_rows(base, json.loads(text), wide))
+    except (ValueError, RecursionError) as e:  # the whole record, however far it was read
         yield base | {"kind": "unparsed", "variant": "none", "reason": "cut off or no JSON" if isinstance(e, ValueError) else "nested too deeply"}
-        return
+
+
+def _scene_rows(base: dict, value, wide: bool) -> Iterator[dict]:
+    scene = scene_of(classify(value))
     if scene is None:
         yield base | {"kind": "unparsed", "variant": "none", "reason": "no scene"}
         return
-    root = scene_id if scene_id is not None else _leaf_text(_field(scene, "scene_id"))
+    root = base["scene_id"] if base["scene_id"] is not None else _leaf_text(_field(scene, "scene_id"))
     yield from _thing_rows(base, _field(scene, "layout"), root, wide)
     relations = _field(scene, "relations")
     graph = _field(relations, "graph")
@@ -387,7 +426,7 @@ def _thing_rows(base: dict, found: Node, root: str | None, wide: bool) -> Iterat
             said = lambda name: next(iter(strings(_field(about, name))), None)  # noqa: B023, E731
             row |= dict(zip("xyzw", xyz or ())) | {
                 "depth": depth, "ordinal": i, "orientation": vector(_field(body, "xyzw")), "usd": _field(body, "usd").raw if _field(body, "usd").state == "text" else None,
-                "semantic_name": said("semantic_name"), "full_description": said("full_description") if isinstance(about.kids, dict) else next(iter(strings(about)), None),
+                "semantic_name": said("semantic_name"), "full_description": said("full_description") if isinstance(about.kids, _Fields) else next(iter(strings(about)), None),
                 "keywords": strings(_field(body, "keywords")),
             }
         yield row

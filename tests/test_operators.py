@@ -313,3 +313,23 @@ def test_chains_layouts_assignments():
     (x, y), (u, v) = spots[:2]
     assert x >= u + 2.1 or u >= x + 1.1 or y >= v + 1.1 or v >= y + 1.1
     assert folds.assign_shapes([{1, 2}, {1}], [1, 2]) == [2, 1] and folds.assign_shapes([{1}, {1}], [1, 2]) is None and folds.assign_shapes([], []) == []
+
+
+def test_deep_fields_are_survived():
+    for deep in ("[" * 900 + "]" * 900, '{"a":' * 900 + "1" + "}" * 900):
+        rows = list(nested.record_rows(1, "s", '{"layout": {"a": {"tags": ["t"], "xyz": %s}}}' % deep))
+        assert {r["kind"] for r in rows} in ({"object", "tag"}, {"unparsed"})
+
+
+def test_things_without_an_id_are_kept_apart():
+    rows = list(nested.record_rows(1, "s", json.dumps({"layout": [{"xyz": [1, 2, 3, 4], "tags": ["t"], "parts": [{"id": "p"}]}, {"id": "q", "xyz": [1, 2, 3, 4]}]})))
+    assert {(r["kind"], r["parent_id"], r["node_id"], r["variant"]) for r in rows} == {("unnamed", "s", "#0", "vector_array_4"), ("unnamed", "#0", "t", "text_array"), ("unnamed", "#0", "p", "none"), ("object", "s", "q", "vector_array_4")}
+
+
+def test_objects_are_the_union_of_their_subtypes(spark):
+    from kinelake.session import table
+
+    t = nested.scene_tables(table(spark, "/root/testdata/sf0.001", "scene_records"))
+    key = ["scene_uid", "parent_id", "node_id"]
+    parts = [r[:] for v in nested.SUBTYPES for r in t[f"objects_{v}"].select(*key).collect()]
+    assert sorted(parts) == sorted(r[:] for r in t["objects"].select(*key).collect()) and parts
