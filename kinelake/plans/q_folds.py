@@ -182,8 +182,7 @@ def gr08_erode(spark: SparkSession, d: str) -> DataFrame:
 )
 def gr08_components(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    p = grids._pairs(s, "s_suppkey", ["s_acctbal"], 60.0).where("s_suppkey < other").select(F.col("s_suppkey").alias("src"), F.col("other").alias("dst"))
-    return grids.components(p, s.select(F.col("s_suppkey").alias("node")))
+    return grids.density_clusters(s.select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], 60.0, 1).select(F.col("s_suppkey").alias("node"), F.col("cluster").alias("component"))
 
 
 @R.query(
