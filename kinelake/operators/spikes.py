@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from kinelake.operators.blocks import instant_ns, pack_blocks, with_halo
 from kinelake.operators.flat import Flat, breaks
-from kinelake.session import scratch_path
+from kinelake.session import materialize
 
 FIELDS = ("joint_position", "joint_velocity", "joint_effort")
 LIMITS = {
@@ -97,14 +97,7 @@ def source_blocks(readings: DataFrame, params: DataFrame) -> DataFrame:
     low = params.groupBy(F.col("joint_name").alias("p_joint")).agg(
         F.struct(*[F.first(c, ignorenulls=True).alias(c) for c in ("position_lower_limit", "position_upper_limit", "velocity_limit", "effort_limit")]).alias("limits")
     )
-    return _written(blocks.join(low, F.col("joint_name") == F.col("p_joint"), "left").drop("p_joint"), "source_blocks")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, for what is read more than once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return materialize(blocks.join(low, F.col("joint_name") == F.col("p_joint"), "left").drop("p_joint"))
 
 
 def _limits(batch: pa.RecordBatch, field: str) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +265,7 @@ def _with_models(blocks: DataFrame, models: DataFrame, few: bool) -> DataFrame:
 
 def source_models(blocks: DataFrame, factor: float = FACTOR) -> tuple[DataFrame, bool]:
     """The table of ``usual_changes`` with the coefficients of the autoregression, and whether its sources are few enough to broadcast."""
-    first = _written(usual_changes(blocks), "usual_changes")
+    first = materialize(usual_changes(blocks))
     few = first.count() <= BROADCAST_SOURCES
     schema = _arrow(REGRESSION)
     parts = _with_models(blocks, first, few).mapInArrow(lambda it: _partial_regression(it, schema, factor), REGRESSION)
@@ -280,7 +273,7 @@ def source_models(blocks: DataFrame, factor: float = FACTOR) -> tuple[DataFrame,
     on = [F.col(f"u.{k}").eqNullSafe(F.col(f"p.{k}")) for k in SOURCE]
     each = F.transform("models", lambda m, i: F.struct(m["usual"].alias("usual"), m["repeats"].alias("repeats"), F.greatest(F.least(F.coalesce(F.try_element_at("phi", i), F.lit(0.0)), F.lit(0.95)), F.lit(-0.9)).alias("phi")))
     both = first.alias("u").join(phi.alias("p"), on, "left").select(*[F.col(f"u.{k}").alias(k) for k in SOURCE], "pace", each.alias("models"))
-    return _written(both, "source_models"), few
+    return materialize(both), few
 
 
 def find_stuck(v: np.ndarray, seg: np.ndarray, run: int = STUCK_RUN) -> np.ndarray:
