@@ -23,11 +23,16 @@ QUERIES, SQL = R.queries, R.sql
     WHERE abs(a.s_acctbal - b.s_acctbal) <= 2000 AND abs(a.s_suppkey - b.s_suppkey) <= 40"""
 )
 def jn14_polygons_touch(spark: SparkSession, d: str) -> DataFrame:
-    """Rectangles of one map that aren't separated by an axis: corner (balance, key), 2000 by 40."""
+    """Rectangles of one map that aren't separated by an axis: corner (balance, key), 2000 by 40. Only those in the same or neighbouring cells of that size meet."""
     s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
-    a, b = s.select("s_nationkey", *[F.col(c).alias("a_" + c) for c in "kxy"]), s.select("s_nationkey", *[F.col(c).alias("b_" + c) for c in "kxy"])
+    s = s.withColumns({"gx": F.floor(F.col("x") / 2000), "gy": F.floor(F.col("y") / 40)})
+    around = F.array(*[F.lit(o) for o in (-1, 0, 1)])
+    a = s.select("s_nationkey", *[F.col(c).alias("a_" + c) for c in "kxy"], "gx", "gy")
+    b = s.select("s_nationkey", *[F.col(c).alias("b_" + c) for c in "kxy"], F.explode(F.transform(around, lambda o: F.col("gx") + o)).alias("gx"), "gy")
+    b = b.select("s_nationkey", "b_k", "b_x", "b_y", "gx", F.explode(F.transform(around, lambda o: F.col("gy") + o)).alias("gy"))
     box = lambda p: [(F.col(p + "x") + dx, F.col(p + "y") + dy) for dx, dy in ((0, 0), (2000, 0), (2000, 40), (0, 40))]
-    return a.join(b, "s_nationkey").where(F.col("a_k") < F.col("b_k")).where(~g.rectangles_separate(box("a_"), box("b_"))).select(F.col("a_k").alias("a_key"), F.col("b_k").alias("b_key"))
+    near = a.join(b, ["s_nationkey", "gx", "gy"]).where(F.col("a_k") < F.col("b_k"))
+    return near.where(~g.rectangles_separate(box("a_"), box("b_"))).select(F.col("a_k").alias("a_key"), F.col("b_k").alias("b_key"))
 
 
 @R.query("SELECT p_partkey FROM part WHERE NOT (p_size >= 10 AND p_size < 30 AND p_retailprice < 1000 + (p_size - 10) * 20 AND p_retailprice >= 950)")
