@@ -51,12 +51,12 @@ def jn12_missing_objects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(known, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@R.query("SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
-def jn13_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one nation, each once."""
+@R.query("SELECT a.s_suppkey, a.s_nationkey, count(b.s_suppkey) AS n_links FROM supplier a LEFT JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1, 2")
+def jn13_links(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of one nation as one row an object: its group and how many others it is paired with. The pairs themselves aren't written out; pairs under a condition are formed by cells (jn14, jn25)."""
     s = table(spark, d, "supplier")
-    a, b = s.select(F.col("s_suppkey").alias("a_key"), "s_nationkey"), s.select(F.col("s_suppkey").alias("b_key"), "s_nationkey")
-    return a.join(b, "s_nationkey").where("a_key < b_key").select("a_key", "b_key")
+    n = s.groupBy("s_nationkey").agg((F.count("*") - 1).alias("n_links"))
+    return s.join(n, "s_nationkey").select("s_suppkey", "s_nationkey", "n_links")
 
 
 @R.query("SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key, round(abs(a.s_acctbal - b.s_acctbal), 6) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 50")
