@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.operators.blocks import instant_ns, pack_blocks, with_halo
+from kinelake.operators.blocks import block_numbers, instant_ns, pack_blocks, with_halo
 from kinelake.operators.flat import Flat, breaks
 from kinelake.operators.order_stats import percentiles
 from kinelake.session import materialize
@@ -309,7 +309,8 @@ def regular_series(
     cell = cell_ms * 1_000_000
     counts = F.col(main).isNotNull() & ~F.isnan(main)
     src = readings.where(counts).select(*keys, instant_ns().alias("at"), F.col(main).cast("double").alias("v_main"), F.col(second).cast("double").alias("v_second"))
-    blocks = with_halo(pack_blocks(src, keys, "at", ["v_main", "v_second"], BLOCK_CELLS * cell), keys, HALO, ["v_main", "v_second"])
+    width, fields = BLOCK_CELLS * cell, ["v_main", "v_second"]
+    blocks = with_halo(pack_blocks(src, keys, "at", fields, width), keys, HALO, fields, block_numbers(src, keys, "at", width))
     kinds = dict(src.dtypes)
     ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", cell_ms bigint, `{main}` double, `{second}` double, n_readings bigint, filled boolean, `{second}_filled` boolean, method string, unsettled boolean" + (f", `{main}_linear` double" if linear else "")
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.operators.blocks import instant_ns, pack_blocks, with_halo
+from kinelake.operators.blocks import block_numbers, instant_ns, pack_blocks, with_halo
 from kinelake.operators.flat import Flat, breaks
 from kinelake.session import materialize
 
@@ -93,7 +93,7 @@ def limit_violations(readings: DataFrame, params: DataFrame) -> DataFrame:
 def source_blocks(readings: DataFrame, params: DataFrame) -> DataFrame:
     """Distinct messages packed by (source, episode, block), with halo and the joint's limits."""
     src = readings.select(*KEYS, instant_ns().alias("at"), "seq_no", *FIELDS)
-    blocks = with_halo(pack_blocks(src, KEYS, "at", ["seq_no", *FIELDS], BLOCK_NS), KEYS, HALO, FIELDS)
+    blocks = with_halo(pack_blocks(src, KEYS, "at", ["seq_no", *FIELDS], BLOCK_NS), KEYS, HALO, FIELDS, block_numbers(src, KEYS, "at", BLOCK_NS))
     low = params.groupBy(F.col("joint_name").alias("p_joint")).agg(
         F.struct(*[F.first(c, ignorenulls=True).alias(c) for c in ("position_lower_limit", "position_upper_limit", "velocity_limit", "effort_limit")]).alias("limits")
     )
