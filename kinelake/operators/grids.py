@@ -32,24 +32,25 @@ def erode(cells: DataFrame, x: str = "gx", y: str = "gy", radius: int = 1) -> Da
     return spread.groupBy(x, y).agg(F.count("*").alias("__n")).where(F.col("__n") == n).select(x, y)
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over undirected ``edges`` (src, dst).
 
-    Labels spread along edges and jump to their label's label each round, so
-    long chains halve; each round is cut by a checkpoint. Raises RuntimeError if
-    ``rounds`` don't suffice.
+    Each round a node hears its neighbours' labels, and hands the least on to
+    the node that its own label names, so a whole tree moves at once and the
+    rounds grow with the logarithm of the longest chain; each round is cut by a
+    written table. Labels only fall, so the rounds end by themselves.
     """
     both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = materialize(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(rounds):
-        heard = both.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("heard"))
-        step = label.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
-        jump = step.select(F.col("node").alias("j"), F.col("component").alias("jumped"))
-        step = materialize(step.join(jump, F.col("component") == F.col("j"), "left").select("node", "old", F.least("component", F.coalesce("jumped", "component")).alias("component")))
-        label = step.select("node", "component")
+    #: A node, its label, and its label's label.
+    label = materialize(nodes.select("node", F.col("node").alias("component"), F.col("node").alias("up")).distinct())
+    while True:
+        heard = both.join(label.select(F.col("node").alias("dst"), "up"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("up").alias("heard"))
+        said = F.explode(F.array(F.struct("node", F.col("component").alias("old"), F.least("component", "up", "heard").alias("to")), F.struct(F.col("component").alias("node"), F.lit(None).alias("old"), F.col("heard").alias("to"))))
+        step = materialize(label.join(heard, "node", "left").select(said.alias("s")).groupBy("s.node").agg(F.max("s.old").alias("old"), F.min("s.to").alias("component")))
         if not step.where("old <> component").limit(1).count():
-            return label
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+            return step.select("node", "component")
+        above = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        label = materialize(step.select("node", "component").join(above, "component").select("node", "component", "up"))
 
 
 SUB = 4

@@ -182,7 +182,7 @@ def gr08_erode(spark: SparkSession, d: str) -> DataFrame:
 )
 def gr08_components(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    return grids.density_clusters(s.select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], 60.0, 1).select(F.col("s_suppkey").alias("node"), F.col("cluster").alias("component"))
+    return grids.density_clusters(s.select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], 60.0, 1).select(F.col("s_suppkey").alias("node"), F.coalesce("cluster", "s_suppkey").alias("component"))
 
 
 @R.query(

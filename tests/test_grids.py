@@ -41,3 +41,23 @@ def test_a_dense_heap_is_one_cluster(spark):
     df = spark.range(20_000).selectExpr("id as k", "cast(id % 3 as double) / 100 as x", "0.0 as y")
     assert grids.density_clusters(df, "k", ["x", "y"], 1.0, 5).groupBy("cluster").count().collect()[0][:] == (0, 20_000)
     assert grids.density_clusters(df.limit(0), "k", ["x", "y"], 1.0, 5).count() == 0
+
+
+def test_chains_of_any_length_settle(spark):
+    order = list(range(1, 1000)) + [0]
+    random.Random(1).shuffle(order)
+    pairs = list(zip(order, order[1:])) + [(2000, 2001)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    out = grids.components(edges, spark.createDataFrame([(k,) for k in [*order, 2000, 2001, 3000]], "node long"))
+    assert sorted(map(tuple, out.select("node", "component").collect())) == [(k, 0) for k in range(1000)] + [(2000, 2000), (2001, 2000), (3000, 3000)]
+
+
+def test_suppliers_without_gaps_are_one_component(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    balances = [50.0 * k for k in range(400)]
+    random.Random(2).shuffle(balances)
+    rows = list(enumerate(balances)) + [(400, -500.0), (401, None), (402, None)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = entry.queries()["gr08_components"](spark, str(tmp_path)).select("node", "component").collect()
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(400)] + [(k, k) for k in (400, 401, 402)]
