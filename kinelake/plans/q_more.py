@@ -48,13 +48,17 @@ def jn15_outside_polygon(spark: SparkSession, d: str) -> DataFrame:
     SELECT new_key, min(old_key) AS matched FROM p WHERE i / (1200 - i) >= 0.3 GROUP BY 1"""
 )
 def jn17_detections(spark: SparkSession, d: str) -> DataFrame:
-    """New boxes matched to the first known box of their category by overlap; cells as wide as a box bound the pairs."""
+    """New boxes matched to the first known box of their category by overlap. Boxes at one place are one row, the known ones with their first key; cells as large as a box bound the pairs of places."""
     x = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("t"), (F.col("p_size") * 10.0).alias("x"), (F.col("p_partkey") % 13 * 10.0).alias("y"))
-    cell = F.floor(F.col("x") / 20)
-    new = x.where("k % 5 = 0").select(F.col("k").alias("new_key"), "t", F.col("x").alias("nx"), F.col("y").alias("ny"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
-    old = x.where("k % 5 <> 0").select(F.col("k").alias("old_key"), "t", F.col("x").alias("ox"), F.col("y").alias("oy"), cell.alias("c"))
+    cx, cy = F.floor(F.col("x") / 20), F.floor(F.col("y") / 30)
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    new = x.where("k % 5 = 0")
+    places = new.select("t", F.col("x").alias("nx"), F.col("y").alias("ny"), cx.alias("cx"), cy.alias("cy")).distinct()
+    places = places.select("t", "nx", "ny", around(F.col("cx")).alias("cx"), "cy").select("t", "nx", "ny", "cx", around(F.col("cy")).alias("cy"))
+    old = x.where("k % 5 <> 0").groupBy("t", F.col("x").alias("ox"), F.col("y").alias("oy"), cx.alias("cx"), cy.alias("cy")).agg(F.min("k").alias("old_key"))
     iou = g.rect_iou((F.col("nx"), F.col("ny"), F.col("nx") + 20, F.col("ny") + 30), (F.col("ox"), F.col("oy"), F.col("ox") + 20, F.col("oy") + 30))
-    return new.join(old, ["t", "c"]).where(iou >= 0.3).groupBy("new_key").agg(F.min("old_key").alias("matched"))
+    first = places.join(old, ["t", "cx", "cy"]).where(iou >= 0.3).groupBy("t", F.col("nx").alias("x"), F.col("ny").alias("y")).agg(F.min("old_key").alias("matched"))
+    return new.join(first, ["t", "x", "y"]).groupBy(F.col("k").alias("new_key")).agg(F.min("matched").alias("matched"))
 
 
 @R.query("SELECT file_id, CASE WHEN contains(lower(file_path), 'depth') THEN 2 ELSE 1 END AS global_id FROM camera_files")

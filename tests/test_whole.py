@@ -211,3 +211,23 @@ def test_texts_with_tabs_and_vertical_tabs_stay(spark, tmp_path):
     q = entry.queries()
     assert rows_of(q["st04_trim"](spark, str(tmp_path))) == [(0, "a\tb c"), (1, "a\x0bb"), (2, "\x0b"), (3, "plain"), (4, ""), (6, "x\n\ny")]
     assert rows_of(q["st21_estimates"](spark, str(tmp_path))) == [(i, len(t.split()) + 128, -(-len(t) // 4)) for i, t in enumerate(texts) if t is not None]
+
+
+def test_heaps_of_boxes_at_one_place(spark, tmp_path):
+    import threading
+
+    n = 400_000  # 25 billion pairs of one category and cell
+    spark.range(n).selectExpr("id as p_partkey", "'A' as p_type", "5 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = rows_of(entry.queries()["jn17_detections"](spark, str(tmp_path)))
+    finally:
+        late.cancel()
+    first = {p: min(k for k in range(100) if k % 5 and abs(k % 13 - p) <= 1) for p in range(13)}
+    assert got == [(k, first[k % 13]) for k in range(0, n, 5)]
+
+
+@needs_data
+def test_detections_against_sql(spark):
+    assert rows_of(entry.queries()["jn17_detections"](spark, DATA)) == rows_of_sql(entry.oracle_sql()["jn17_detections"])
