@@ -231,3 +231,41 @@ def test_heaps_of_boxes_at_one_place(spark, tmp_path):
 @needs_data
 def test_detections_against_sql(spark):
     assert rows_of(entry.queries()["jn17_detections"](spark, DATA)) == rows_of_sql(entry.oracle_sql()["jn17_detections"])
+
+
+def test_interpolation_far_away_to_the_last_decimal(spark, tmp_path):
+    """Users with high ids give long ways, where another order of the same steps rounds otherwise; unknown values leave two poses."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, 90000 - 1009 * i AS user_id, 'view' AS event_type,
+        CASE WHEN i <> 9 THEN round(i * 37.77 % 200, 2) END AS value, '{"k": ' || i * 13 % 100 || '}' AS props FROM range(20) t(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = entry.queries()["ma30_ma32_interpolation"](spark, str(tmp_path))
+    got, want = df.collect(), con.execute(entry.oracle_sql()["ma30_ma32_interpolation"]).fetchall()
+    key = lambda r: (r[0], r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert len(got) > 40_000 and [r.step_no for r in got if r.event_id == 9] == [0, 1]
+
+
+def test_interpolation_lays_equal_ways_side_by_side(spark, tmp_path):
+    """Else the result, many times its input, repeats z without being packed; no event is lost by the order."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i % 5 * 100 AS user_id, 'view' AS event_type, i % 3 * 20.0 AS value, '{\"k\": 0}' AS props FROM range(720) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = entry.queries()["ma30_ma32_interpolation"](spark, str(tmp_path)).collect()
+    ways = [(r.n_steps, r.event_id % 9, r.event_id % 4) for r in got if r.step_no == 0]
+    assert len(ways) == 720 and 1 + sum(a != b for a, b in zip(ways, ways[1:])) == len(set(ways)) < 720
+    assert all((b.event_id, b.step_no) == (a.event_id, a.step_no + 1) for a, b in zip(got, got[1:]) if b.step_no)
+
+
+def test_nine_decimals_round_halves_away_from_zero(spark):
+    from pyspark.sql import functions as F
+
+    from kinelake.plans.registry import r9
+
+    cases = [(0.5e-9, 1e-9), (-0.5e-9, -1e-9), (2.5e-9, 3e-9), (1.5e-9, 2e-9), (1.25, 1.25), (0.49999999999999994e-9, 0.0), (0.0, 0.0), (-1e-12, 0.0), (1e12 + 0.5, 1e12 + 0.5), (None, None), (float("inf"), float("inf"))]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x double").select("i", r9(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [y for _, y in cases] and all(str(r.y) != "-0.0" for r in got)
